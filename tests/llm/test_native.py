@@ -1,0 +1,115 @@
+"""Secret scans, chat formatting and quality rules against plain Python."""
+
+import re
+from collections import Counter
+
+from lamella.llm import chat, quality_rules, secrets
+from pyspark.sql import functions as F
+
+from . import data
+
+ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def linked(text):
+    """Every weak part against every other part."""
+    parts = base(text)
+    for kind, pattern in secrets.WEAK.items():
+        parts += [(m.start(), secrets.KINDS.index(kind), m.end()) for m in re.finditer(pattern, text)]
+    blanks = [m.start() for m in re.finditer(r"\n[ \t\r\x0B\f]*\n", text)]
+    scope = lambda p: sum(b < p[0] for b in blanks)
+    role = lambda p: secrets.ROLE[secrets.KINDS[p[1]]]
+    out = base(text)
+    for p in parts:
+        needs = secrets.NEEDS.get(secrets.KINDS[p[1]])
+        if needs and all(any(role(q) == n and scope(q) == scope(p) and abs(q[0] - p[0]) <= secrets.REACH for q in parts) for n in needs):
+            out.append(p)
+    return sorted(out)
+
+
+def test_secret_scan(spark):
+    got = secrets.scan(data.documents(spark), keep=("doc_id", "text")).collect()
+    assert len(got) == len(data.rows())
+    for r in got:
+        text = r["row"]["text"] or ""
+        assert [tuple(s) for s in r["base"]] == base(text)
+        assert [tuple(s) for s in r["spans"]] == linked(text)
+    assert any(len(r["spans"]) > len(r["base"]) for r in got)
+    assert secrets.scan(data.documents(spark, [])).count() == 0
+
+
+def test_redact(spark):
+    docs = data.documents(spark)
+    got = {(r["doc_id"], r["text"]) for r in secrets.redact(docs).collect()}
+    want = set()
+    for i, t, *_ in data.rows():
+        if t is not None:
+            at, pieces, end = 0, [], 0
+            for a, _, b in linked(t):
+                if a > end or not pieces:
+                    pieces += [t[at:a], "[SECRET]"]
+                at = end = max(b, end)
+            t = "".join(pieces) + t[at:]
+        want.add((i, t))
+    assert got == want
+    assert secrets.redact(docs).columns == docs.columns
+
+
+def test_chat(spark):
+    rows = [(1, 2, "user", "b<|im_end|>\n"), (1, 1, "user", "a<\\|x"), (1, 3, "assistant", None), (1, 4, "assistant", "<|im_part|>é<"), (1, 4, "assistant", "<|im_part|>é<"), (1, 5, None, "x\n")]
+    rows += [(2, 0, "assistant", ""), (None, None, "system", "s"), (3, 0, "ro\nle<|", "t" * 70000)] + [(4, i, "user" if i % 3 else "assistant", f"{i}") for i in range(300)]
+    rows = [(*r, "w", "m") for r in rows]
+    out = chat.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, w string, m string"))
+    out = out.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned"))
+    convs = {}
+    for c, n, role, text, *_ in rows:
+        convs.setdefault(c, []).append((-1 if n is None else n, role or "", text or ""))
+    got = out.collect()
+    assert {r["conv_id"] for r in got} == set(convs)
+    for r in got:
+        turns = sorted(convs[r["conv_id"]])
+        assert [tuple(t) for t in r["turns"]] == [t[1:] for t in turns]
+        assert r["n_turns"] == len(turns)
+        assert r["n_messages"] == 1 + sum(a[1] != b[1] for a, b in zip(turns, turns[1:]))
+        assert r["learned"] == "".join(t[2] for t in turns if t[1] == "assistant")
+        assert r["formatted"].count("<|im_start|>") == r["n_messages"]
+    assert chat.chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def stats(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen = Counter(zip(w, w[1:], w[2:]))
+    covered = {j for i, x in enumerate(zip(w, w[1:], w[2:])) if seen[x] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark):
+    got = quality_rules.judge(data.documents(spark), keep=("doc_id", "text", "source")).collect()
+    assert len(got) == len(data.rows())
+    failed, docs = Counter(), Counter()
+    for r in got:
+        s = r["stats"]
+        assert (s["n_words"], s["word_chars"], s["n_symbols"], s["n_dup_lines"], s["n_repeat_words"]) == stats(r["row"]["text"] or "")
+        assert r["base_failed"] == (s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"])
+        docs[r["row"]["source"]] += 1
+        failed[r["row"]["source"]] += r["base_failed"] or r["soft_failed"]
+    # The moment fit once more, in plain Python.
+    n, f, k = sum(docs.values()), sum(failed.values()), len(docs)
+    mean = f / n
+    spread = sum(failed[h] ** 2 / docs[h] for h in docs) - n * mean**2
+    size = n - sum(d * d for d in docs.values()) / n
+    var = (spread - (k - 1) * mean * (1 - mean)) / (size - (k - 1))
+    strength = max(1, min(1000, mean * (1 - mean) / var)) if var > 0 else 1000
+    for r in got:
+        h = r["row"]["source"]
+        rate = (failed[h] + strength * mean) / (docs[h] + strength)
+        assert abs(r["host_rate"] - rate) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and not (rate > 0.5 and r["soft_failed"]))
+    assert quality_rules.judge(data.documents(spark, [])).count() == 0
