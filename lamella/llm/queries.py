@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality_rules, secrets
+from . import chat, jaccard_join, mixing, packing, quality_rules, secrets
 from . import common as C
 
 
@@ -20,6 +20,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", count("assign"), count("access"), count("hex"), digest.alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.link(C.table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -56,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op3_chat_format, op4_quality_rules, op5_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_quality_rules, op5_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
