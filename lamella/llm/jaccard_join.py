@@ -57,7 +57,7 @@ def slack(d: int) -> int:
 
 def sketch_words(x: np.ndarray, m: int, seed: int) -> np.ndarray:
     """The m words of the sketch of shingle hashes x: XOR of the hashes dealt to each; 0 is an empty word."""
-    y = kernel.mix(x + U(2 * seed + 1) * kernel.BASE)
+    y = kernel.mix(x + U((2 * seed + 1) * int(kernel.BASE) % 2**64))
     at = ((y >> U(32)) * U(m) >> U(32)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     out = np.zeros(m, U)

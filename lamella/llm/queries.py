@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, mixing, packing, quality_rules, secrets
+from . import chat, jaccard_join, mixing, packing, quality_rules, secrets, token_files
 from . import common as C
 
 
@@ -54,6 +54,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.col("bucket").cast("long").alias("bucket"), "bucket_len", "batch", "slot")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = token_files.folder(spark)
+    token_files.write(C.table(spark, sf_dir, "documents"), where, tokenizer=tokenizer_path())
+    return token_files.read(spark, where, ids=False)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("n_words"))
     out = mixing.mix(C.stored(docs, "lengths"), F.col("n_words"))
@@ -61,7 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_quality_rules, op5_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_quality_rules, op5_packing, op6_token_files, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
