@@ -29,7 +29,7 @@ U = np.uint64
 #: Bytes of ids after which a shard ends; a longer document is a shard of its own.
 SHARD_BYTES = 1 << 20
 #: Segments whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Stands for a null key in a file; no document may have it as its key.
 NULL_KEY = -(2**63)
 
@@ -53,38 +53,68 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # a character stands for a byte
-        self.known = np.empty(0, U)
-        self.at = self.size = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self.forget()
+
+    def forget(self) -> None:
+        """Known segments: hashes, ascending, with the place and number of their ids; recent ones in a second, smaller table of the same kind."""
+        none = (np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int32))
+        self.old, self.recent = none, none
+        self.ids = np.empty(1 << 16, np.uint16 if len(self.n_bytes) <= 1 << 16 else np.uint32)
+        self.n_ids = 0
+
+    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each hash; the number is -1 for one that is not known."""
+        at, size = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
+        for known, places, sizes in (self.old, self.recent):
+            if len(known):
+                i = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[i] == hashes
+                at[hit], size[hit] = places[i[hit]], sizes[i[hit]]
+        return at, size
 
     def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.ids.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
         """Add segments that are not known."""
-        if len(self.known) > CACHE:
-            self.known, self.at, self.size, self.ids = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-        last = data[end - 1]
-        plain = (data[start] == 32) & (last > 32) & (last < 127) & (end - start > 1)
+        last, second = data[end - 1], data[np.maximum(end - 2, 0)]
+        plain = (data[start] == 32) & ((last > 32) & (last < 127) | (last >= 128) & (second == 0xC3)) & (end - start > 1)
         raw = data.tobytes()
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        start, end, hashes, n = start[order], end[order], hashes[order], int(plain.sum())
-        joined = b"".join(raw[a:b] for a, b in zip(start[:n].tolist(), end[:n].tolist(), strict=True)).decode()
-        first = self.encode_whole([joined])[0] if joined else np.empty(0, np.uint32)
-        edges = np.searchsorted(np.cumsum(self.n_bytes[first]), np.cumsum(end[:n] - start[:n])) + 1
-        sizes = np.diff(np.concatenate([[0], edges]))
-        rest = self.encode_whole([raw[a:b].decode() for a, b in zip(start[n:].tolist(), end[n:].tolist(), strict=True)])
-        sizes = np.concatenate([sizes, np.array([len(x) for x in rest], np.int64)]).astype(np.int64)
-        at = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, first, *rest])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
+        pieces, sizes = [], []
+        together = np.flatnonzero(plain)
+        for i in range(0, len(together), 8192):
+            some = together[i : i + 8192]
+            joined = b"".join([raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+            pieces += self.encode_whole([joined.decode()])
+            edges = np.searchsorted(np.cumsum(self.n_bytes[pieces[-1]]), np.cumsum(end[some] - start[some])) + 1
+            sizes.append(np.diff(edges, prepend=0))
+        alone = np.flatnonzero(~plain)
+        for i in range(0, len(alone), 1024):
+            some = alone[i : i + 1024]
+            found = self.encode_whole([raw[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+            pieces += found
+            sizes.append(np.array([len(x) for x in found], np.int64))
+        sizes, ids = np.concatenate(sizes), np.concatenate(pieces)
+        at = self.n_ids + np.cumsum(sizes) - sizes
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), self.ids.dtype)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+        order = np.concatenate([together, alone])
+        self.recent = self.merged(self.recent, (hashes[order], at, sizes.astype(np.int32)))
+        if 5 * len(self.recent[0]) > len(self.old[0]):
+            self.old, self.recent = self.merged(self.old, self.recent), tuple(x[:0] for x in self.recent)
+
+    @staticmethod
+    def merged(a: tuple, b: tuple) -> tuple:
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        order = np.argsort(both[0])
+        return tuple(x[order] for x in both)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in data one after another, and each text's number of ids."""
         if not len(data):
-            return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+            return np.empty(0, self.ids.dtype), np.zeros(len(offsets) - 1, np.int64)
         before = np.concatenate([[32], data[:-1]])
         second = np.concatenate([[32, 32], data[:-2]])[: len(data)]
         # Behind printable ASCII or a Latin letter; behind other characters, some of which are white space, segments go on.
@@ -94,15 +124,14 @@ class Encoder:
         end = np.append(start[1:], len(data))
         h = kernel.span_hashes(data, start, end)
         unique, first, which = np.unique(h, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.known, unique)
-        new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != unique) if len(self.known) else np.arange(len(unique))
+        if len(self.old[0]) > CACHE:
+            self.forget()
+        at, size = self.place(unique)
+        new = np.flatnonzero(size < 0)
         if len(new):
-            if len(self.known) > CACHE:  # the cache starts anew
-                new = np.arange(len(unique))
             self.learn(data, start[first[new]], end[first[new]], unique[new])
-            place = np.searchsorted(self.known, unique)
-        place = place[which]
-        size, at = self.size[place], self.at[place]
+            at[new], size[new] = self.place(unique[new])
+        at, size = at[which], size[which]
         upto = np.cumsum(size)
         ids = self.ids[np.repeat(at - (upto - size), size) + np.arange(upto[-1])]
         edges = np.concatenate([[0], upto])[np.searchsorted(start, offsets)]
@@ -204,7 +233,7 @@ def shards(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterato
             ids, counts = coder.encode(data, offsets)
             upto = np.cumsum(counts)
             for i in range(last - first):
-                piece = np.append(ids[upto[i] - counts[i] : upto[i]], np.uint32(end_id))
+                piece = np.append(ids[upto[i] - counts[i] : upto[i]], ids.dtype.type(end_id))
                 if held and held + len(piece) * width > SHARD_BYTES:
                     yield flush()
                 keys.append(int(key[first + i]))
