@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, mixing, packing, quality_rules, secrets, token_files
+from . import chat, jaccard_join, mixing, packing, quality_rules, secrets, token_files, url_filter
 from . import common as C
 
 
@@ -66,6 +66,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, where, ids=False)
 
 
+#: host, path, action
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's url ends in the number of the document that it shows; the labels of those documents are the labelled outcomes."""
+    pages = C.table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    labels = C.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("n"), bad)
+    labelled = pages.select("url", F.regexp_extract("url", r"/(\d{1,18})[^/\d]*/?(?:[?#].*)?$", 1).try_cast("long").alias("n")).join(labels, "n").select("url", "bad")
+    out = url_filter.judge(pages, URL_RULES, labelled)
+    return out.select("page_id", "host", "path", "rule", "verdict", "bad_bound")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("n_words"))
     out = mixing.mix(C.stored(docs, "lengths"), F.col("n_words"))
@@ -73,7 +87,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_quality_rules, op5_packing, op6_token_files, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_quality_rules, op5_packing, op6_token_files, op8_url_filter, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
