@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, mixing, packing, quality_rules, secrets, token_files, url_filter
+from . import chat, jaccard_join, media, mixing, packing, quality_rules, secrets, token_files, url_filter
 from . import common as C
 
 
@@ -80,6 +80,22 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "bad_bound")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a page with one figure: its text as stored media, referred to by the digest of the padded text."""
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", C.whole("text").cast("binary").alias("raw"))
+    payload = media.padded(F.col("raw"))
+    where = media.folder(spark)
+    media.store(docs.select(payload.alias("payload")), where)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    page = F.concat(F.lit('<figure><img src="'), F.sha2(payload, 256), F.lit('" alt="document '), name, F.lit('"><figcaption>Text of document '), name, F.lit("</figcaption></figure>"))
+    pages = docs.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), page.alias("html"))
+    out = media.resolve(media.interleave(pages, keep=("doc_id", "n_bytes")), media.describe(spark, where))
+    item = F.get(F.filter("items", lambda i: i["kind"] == "media"), 0)
+    out = out.select("row.doc_id", "row.n_bytes", item.alias("i"))
+    fields = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", *[F.col(f"i.media.{c}").alias(c) for c in fields], F.col("i.caption").alias("caption"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("n_words"))
     out = mixing.mix(C.stored(docs, "lengths"), F.col("n_words"))
@@ -87,7 +103,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_quality_rules, op5_packing, op6_token_files, op8_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_quality_rules, op5_packing, op6_token_files, op8_url_filter, op9_media, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
