@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, media, mixing, packing, quality_rules, secrets, token_files, url_filter
+from . import chat, jaccard_join, media, mixing, packing, quality_model, quality_rules, secrets, token_files, url_filter
 from . import common as C
 
 
@@ -66,6 +66,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, where, ids=False)
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    metadata = {"n_chars": F.coalesce(F.col("n_chars"), F.length("text"))}
+    machine = quality_model.fit(docs, C.table(spark, sf_dir, "labels"), learn_from=~held_out, metadata=metadata)
+    out = quality_model.score(docs, machine, metadata=metadata).select("row.doc_id", "score")
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 #: host, path, action
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -103,7 +112,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_quality_rules, op5_packing, op6_token_files, op8_url_filter, op9_media, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_quality_rules, op5_packing, op6_token_files, op7_quality_model, op8_url_filter, op9_media, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
