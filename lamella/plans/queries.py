@@ -257,47 +257,67 @@ def point_cloud_of_label(v):
 
 # ---- components
 
-@query("v_blk")
+# Runs, edges between runs that touch, every run that each run reaches, and for each run the smallest of these as its component's root.
+REACH = """r as (select *, (z * 30 + y) * 50 + x0 id from ({runs})),
+ e as (select a.id i, b.id j from r a join r b on {touch}),
+ reach(i, m) as (select id, id from r union select reach.i, e.j from reach join e on e.i = reach.m),
+ k as (select r.*, root from r join (select i, min(m) root from reach group by i) m on m.i = r.id),
+ c as (select *, dense_rank() over (partition by z order by root) - 1 ccid, dense_rank() over (order by root) cc from k)"""
+IN_SLICE = "a.label = b.label and a.z = b.z and abs(a.y - b.y) = 1 and a.x0 <= b.x1 and b.x0 <= a.x1"
+IN_SPACE = "a.label = b.label and a.label <> 0 and abs(a.z - b.z) + abs(a.y - b.y) = 1 and a.x0 <= b.x1 and b.x0 <= a.x1"
+IN_SPACE_26 = "a.label = b.label and a.label <> 0 and abs(a.z - b.z) <= 1 and abs(a.y - b.y) <= 1 and a.id <> b.id and a.x0 <= b.x1 + 1 and b.x0 <= a.x1 + 1"
+ON_RUN = "on c.z = v.z and c.y = v.y and v.x between c.x0 and c.x1"
+
+
+def reach(touch: str, source: str = "v") -> dict:
+    return {"ctes": REACH.format(runs=RUNS.replace("from v)", f"from {source})"), touch=touch).replace("from k)", f"from k{' where label <> 0' * ('label <> 0' in touch)})"), "recursive": True}
+
+
+CCID = f"select v.x, v.y, v.z, c.ccid from v join c {ON_RUN}"
+CC = f"select v.x, v.y, v.z, coalesce(c.cc, 0) label from v left join c {ON_RUN}"
+COMPONENTS = "select z, max(ccid) + 1 components from c group by z"
+
+@query("v_blk", CCID, **reach(IN_SLICE))
 def slice_components(v):
     return C.slice_components(v)
 
 
-@query("v_blk")
+@query("v_blk", "select z, ccid, any_value(label) label, cast(sum(x1 - x0 + 1) as bigint) voxel_count, min(y * 50 + x0) first_idx from c group by z, ccid", **reach(IN_SLICE))
 def component_table(v):
     return C.component_table(v)
 
 
-@query("v_ord")
+@query("v_ord", COMPONENTS, **reach(IN_SLICE))
 def component_counts(v):
     return C.component_counts(v)
 
 
-@query("v_blk")
+@query("v_blk", f"select v.x, v.y, v.z, c.cc - 1 cc from v join c {ON_RUN}", **reach(IN_SLICE))
 def layer_components(v):
     return C.layer_components(v)
 
 
-@query("v_blk")
+@query("v_blk", CCID, **reach(IN_SLICE))
 def graph_components(v):
     return C.graph_components(N.voxel_connectivity_graph(v, 4))
 
 
-@query("v_blk")
+@query("v_blk", CC, **reach(IN_SPACE_26))
 def connected_components_26(v):
     return C.connected_components(v, 26)[0].voxels
 
 
-@query("v_blk")
+@query("v_blk", CC, **reach(IN_SPACE))
 def connected_components_6(v):
     return C.connected_components(v, 6)[0].voxels
 
 
-@query("v_blk")
+@query("v_blk", "select cc, any_value(label) label from c group by cc", **reach(IN_SPACE))
 def connected_components_map(v):
     return C.connected_components(v, 6)[1]
 
 
-@query("v_ord")
+@query("v_ord", CC, **reach(IN_SPACE, "(select x, y, z, case when label = 0 then 0 else 1 end label from v)"))
 def connected_components_binary(v):
     return C.connected_components(v, 6, binary_image=True)[0].voxels
 
@@ -416,7 +436,7 @@ def equality(v: LabelVolume):
     return v.spark.createDataFrame([row], "equal_self boolean, equal_other boolean, same_structure boolean, equal_number boolean")
 
 
-@query("v_blk")
+@query("v_blk", COMPONENTS, **reach(IN_SLICE, "(select x, y, z, case when label in (11, 13) then 12 else label end label from v)"))
 def recompress(v):
     """After labels are merged, boundaries inside of a label are gone: the components of each slice."""
     return C.component_counts(R.remap(v, {11: 12, 13: 12}, preserve_missing_labels=True))
