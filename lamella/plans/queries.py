@@ -14,6 +14,7 @@ from ..operators import pins as P
 from ..operators import relabel as R
 from ..operators import selection as S
 from ..operators import structure as U
+from ..sources import stream
 from ..volume import LabelVolume, full
 from .volumes import cte, volume
 
@@ -440,3 +441,71 @@ def equality(v: LabelVolume):
 def recompress(v):
     """After labels are merged, boundaries inside of a label are gone: the components of each slice."""
     return C.component_counts(R.remap(v, {11: 12, 13: 12}, preserve_missing_labels=True))
+
+
+# ---- the stream
+
+
+def coded(v: LabelVolume, **options) -> LabelVolume:
+    """A volume after compression and decompression."""
+    return stream.decompress(v.spark, stream.compress(v, **options))
+
+
+@query("v_blk", "select * from v")
+def compress_decompress(v):
+    return coded(v).voxels
+
+
+@query("v_ord", "select * from v")
+def compress_decompress_noise(v):
+    return coded(v, context_order=3).voxels
+
+
+@query("v_blk", "select * from v")
+def compress_decompress_pins(v):
+    return coded(v, pins=True, context_order=2).voxels
+
+
+@query("v_blk", "select x, y, z - 2 z, label from v where z >= 2 and z < 5")
+def decompress_range_of_stream(v):
+    return stream.decompress(v.spark, stream.compress(v), 2, 5).voxels
+
+
+@query("v_blk", "select * from v")
+def reencode(v):
+    return stream.decompress(v.spark, stream.reencode(stream.compress(v), 4)).voxels
+
+
+@query("v_blk", "select distinct label from v")
+def labels_of_stream(v):
+    return v.spark.createDataFrame([(int(x),) for x in stream.Stream.parse(stream.compress(v)).unique()], "label long")
+
+
+@query("v_blk", "select true header, true crack_index, true labels, cast(0 as bigint) bad_slices")
+def check_report(v):
+    r = stream.check(stream.compress(v, context_order=1))
+    return v.spark.createDataFrame([(r["header"], r["crack_index"], r["labels"], len(r["bad_z"]))], "header boolean, crack_index boolean, labels boolean, bad_slices long")
+
+
+@query("v_blk", "select cast(z as bigint) z, max(ccid) + 1 components from c group by z", **reach(IN_SLICE))
+def component_lengths_of_stream(v):
+    counts, _ = stream.Stream.parse(stream.compress(v)).per_slice()
+    return v.spark.createDataFrame(list(enumerate(counts.tolist())), "z long, components long")
+
+
+@query("v_blk")
+def stream_sections(v):
+    return stream.section_table(v.spark, stream.compress(v, pins=True))
+
+
+@query("v_ord")
+def context_histogram(v):
+    """context, code, n: how often each difference of codes follows the last two."""
+    s = stream.Stream.parse(stream.compress(v))
+    found = []
+    for c in s.codes:
+        nodes, at = stream.K.read_index(c, v.shape[:2])
+        codes = stream.K.unpack(c[at:])
+        found.append(stream.K.differences(codes[: stream.used(nodes, codes.tolist())]))
+    counts = stream.M.histogram(found, 2)
+    return v.spark.createDataFrame([(i, j, int(n)) for i, row in enumerate(counts) for j, n in enumerate(row)], "context long, code long, n long")
