@@ -30,6 +30,8 @@ from . import kernel
 U = np.uint64
 #: Longs of the pruning sketch; one bit for each shingle.
 PRUNE = 16
+#: Words by which a pair that shares several buckets is told from itself.
+FIRST_WORDS = 32
 #: Ratio of the size bands.
 BAND = 1.6
 #: A set of at most so many ids may be broadcast.
@@ -237,10 +239,14 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     member = buckets.where("members > 2").join(found, "id", "left").select("word", "id", "lead", F.coalesce("component", "id").alias("component"))
     member = C.stored(member, "members")
     mixed = member.groupBy("word").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("word")
-    open_ = member.join(mixed, "word", "left_semi").join(whose, "id")
-    open_ = C.stored(open_, "open")
+    open_ = member.join(mixed, "word", "left_semi")
+    # A pair meets in every bucket that it shares; it is made in the first one, as far as the first words of both tell, else in each.
+    first = open_.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("word")), 1, FIRST_WORDS).alias("first"))
+    open_ = C.stored(open_.join(first, "id").join(whose, "id"), "open")
     l, r = open_.alias("l"), open_.alias("r")
-    rest = l.join(r, (F.col("l.word") == F.col("r.word")) & (F.col("l.component") < F.col("r.component")) & (F.col("l.id") != F.col("l.lead")) & (F.col("r.id") != F.col("r.lead")) & possible("l", "r", num, den))
+    apart = (F.col("l.component") < F.col("r.component")) & (F.col("l.id") != F.col("l.lead")) & (F.col("r.id") != F.col("r.lead"))
+    here = F.coalesce(F.array_min(F.array_intersect("l.first", "r.first")), F.col("l.word")) == F.col("l.word")
+    rest = l.join(r, (F.col("l.word") == F.col("r.word")) & apart & possible("l", "r", num, den) & here)
     rest = rest.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).where("a <> b").distinct()
     more = C.stored(verified(named, rest, words, num, den), "more")
     if more.limit(1).count():
