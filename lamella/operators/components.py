@@ -119,9 +119,31 @@ def graph_components(graph: DataFrame) -> DataFrame:
     return graph.groupBy("z").applyInPandas(one, "x long, y long, z long, ccid long")
 
 
+#: Edges up to so many (16 bytes each) are united in one task; more by steps on tables.
+ONE_TASK_EDGES = 2_000_000
+
+
+def united_table(edges: DataFrame) -> DataFrame:
+    def one(batches):
+        found = [b for b in batches if len(b)]
+        if found:
+            u, v = (np.concatenate([b[c].to_numpy() for b in found]) for c in ("u", "v"))
+            ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            root = united(len(ids), at[: len(u)], at[len(u) :])
+            other = root != np.arange(len(ids))
+            yield pd.DataFrame({"id": ids[other], "root": ids[root[other]]})
+
+    return edges.repartition(1).mapInPandas(one, "id long, root long")
+
+
 def star_components(edges: DataFrame) -> DataFrame:
-    """id, root: the smallest id connected by edges (a, b), for all ids but the roots. Alternating large-star and small-star steps; each round is stored."""
+    """id, root: the smallest id connected by edges (a, b), for all ids but the roots.
+
+    Few edges are united in one task; more by alternating large-star and small-star steps, each round of which is stored.
+    """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    if edges.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
+        return united_table(edges)
     last = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

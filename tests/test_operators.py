@@ -149,8 +149,10 @@ def flood(a, reach, same_slice=False, background=True):
     return out
 
 
-def test_components(both):
+@pytest.mark.parametrize("in_one", [0, 1_000])
+def test_components(both, in_one, monkeypatch):
     a, v = both
+    monkeypatch.setattr(C, "ONE_TASK_EDGES", in_one)
     want = flood(a, 0, same_slice=True)
     assert rows(C.layer_components(v)) == sorted((*p, int(want[p])) for p in np.ndindex(a.shape))
     first = want.min(axis=(0, 1))
