@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, media, mixing, packing, quality_model, quality_rules, secrets, token_files, url_filter
+from . import chat, jaccard_join, media, mixing, oracles, packing, quality_model, quality_rules, secrets, token_files, url_filter
 from . import common as C
 
 
@@ -116,4 +116,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
