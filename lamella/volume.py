@@ -21,7 +21,7 @@ class FormatError(ValueError):
     """Input that is no label volume."""
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class LabelVolume:
     """A lazy table of voxels (x, y, z, label) with the volume's shape. Every (x, y, z) inside the shape has exactly one row.
 
@@ -65,6 +65,44 @@ class LabelVolume:
         row = (*self.shape, self.width, self.size, self.nbytes, self.order == "F")
         return self.spark.createDataFrame([row], "sx int, sy int, sz int, data_width int, size long, nbytes long, fortran_order boolean")
 
+    # ---- operators of the module relabel, selection and structure in their short form
+
+    def __getitem__(self, key) -> LabelVolume:
+        return selection.cutout(self, key)
+
+    def __contains__(self, label: int) -> bool:
+        return selection.contains(self, [label]).first()["found"]
+
+    def __eq__(self, other) -> bool:
+        return structure.array_equal(self, other)
+
+    __hash__ = object.__hash__
+
+    def __add__(self, k: int) -> LabelVolume:
+        return relabel.add_scalar(self, k)
+
+    __radd__ = __add__
+
+    def __mul__(self, k: int) -> LabelVolume:
+        return relabel.multiply_scalar(self, k)
+
+    __rmul__ = __mul__
+
+    def __sub__(self, k: int) -> LabelVolume:
+        return relabel.subtract_scalar(self, k)
+
+    def __rsub__(self, k: int) -> LabelVolume:
+        return relabel.operator(self, lambda c: F.lit(k) - c)
+
+    def __floordiv__(self, k: int) -> LabelVolume:
+        return relabel.floordiv_scalar(self, k)
+
+    def __rfloordiv__(self, k: int) -> LabelVolume:
+        return relabel.operator(self, lambda c: F.call_function("div", F.lit(k), c))
+
+    def copy(self) -> LabelVolume:
+        return replace(self)
+
     # ---- arrays
 
     @staticmethod
@@ -118,3 +156,6 @@ def zeros(spark: SparkSession, shape: tuple[int, int, int], width: int = 8, orde
 
 def ones(spark: SparkSession, shape: tuple[int, int, int], width: int = 8, order: str = "C") -> LabelVolume:
     return full(spark, shape, 1, width, order)
+
+
+from .operators import relabel, selection, structure  # noqa: E402  they need LabelVolume

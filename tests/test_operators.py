@@ -234,3 +234,12 @@ def test_each(both):
     values = np.unique(a).tolist()
     assert rows(S.each_multi(v, 2)) == [(i // 2, i % 2 + 1, x) for i, x in enumerate(values)]
     assert Counter(r["mask"] for r in S.binary_image(v, 1).collect())[True] == (a == 1).sum()
+
+
+def test_short_forms(spark):
+    v = LabelVolume.from_numpy(spark, NOISE)
+    wide = NOISE.astype(int)
+    for got, want in ((v + 2, wide + 2), (2 + v, wide + 2), (3 * v, wide * 3), ((v + 5) - 5, wide), (9 - v, 9 - wide), (v // 2, wide // 2), (7 // (v + 1), 7 // (wide + 1)), (v[1:4, ..., -1], NOISE[1:4, :, -1:])):
+        assert (got.to_numpy() == want).all()
+    assert 2 in v and 9 not in v and v == v.copy() and v != v + 1 and v * 0 == 0
+    assert R.ascontiguousarray(v).to_numpy().flags.c_contiguous and R.asfortranarray(v).to_numpy().flags.f_contiguous
