@@ -27,7 +27,7 @@ def tiled(v: LabelVolume, axes: str, back: bool = True, ahead: bool = True) -> D
             if back:
                 near.append(F.when(F.col(a) % TILE == TILE - 1, tile + 1))  # seen from the next tile
             if ahead:
-                near.append(F.when(F.col(a) % TILE == 0, tile - 1))
+                near.append(F.when((F.col(a) % TILE == 0) & (F.col(a) > 0), tile - 1))
             out = out.withColumn(f"t{a}", F.explode(F.array_compact(F.array(*near))))
         else:
             out = out.withColumn(f"t{a}", tile)
