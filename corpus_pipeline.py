@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from lamella.llm import common as C
-from lamella.llm import mixing, packing, quality_rules, queries, secrets
+from lamella.llm import jaccard_join, mixing, packing, quality_rules, queries, secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +19,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by the n-gram Jaccard join: the smallest doc_id."""
-    from lamella.llm import jaccard_join
-
     return jaccard_join.representatives(docs)
 
 
