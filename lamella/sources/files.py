@@ -95,10 +95,6 @@ def other_formats(extension: str):
             import nibabel
 
             return lambda p: np.asarray(nibabel.load(p).dataobj), lambda p, a: nibabel.save(nibabel.Nifti1Image(a, np.eye(4)), p)
-        if extension == ".cpso":
-            import compresso
-
-            return lambda p: compresso.load(p), lambda p, a: Path(p).write_bytes(compresso.compress(a))
     except ImportError as e:
         raise FormatError(f"{extension} files need the library {e.name}") from e
     raise FormatError(f"files of kind {extension!r} are not known")
