@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality_rules, secrets
+from . import chat, mixing, quality_rules, secrets, url_filter
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -97,6 +97,41 @@ def op4() -> str:
  from j join rate on rate.source is not distinct from j.source"""
 
 
+# ---- op8: each level's prior is fitted to the level's own counts
+
+
+def op8(rules: list[tuple[str, str, str]]) -> str:
+    u = url_filter
+    low, high = u.STRENGTH
+    two = ", ".join(quoted(x) for x in u.TWO_LABEL_SUFFIXES)
+    parts = """select page_id, url, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+ regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) path from (select page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) rest from pages)"""
+    last = lambda n: f"array_to_string(l[-{n}:], '.')"
+
+    def level(name: str, counts: str) -> str:
+        """Posterior of each row of counts (key, n, bad, above)."""
+        return f"""{name}_c as materialized ({counts}),
+ {name}_f as (select sum(pow(bad / n - above, 2) * n) spread, sum(above * (1 - above)) chance, sum(above * (1 - above) * (n - 1)) size from {name}_c where n >= 2),
+ {name}_p as (select case when (spread - chance) / size > 0 then greatest({low}, least({high}, 1 / ((spread - chance) / size) - 1)) else {high} end prior from {name}_f),
+ {name} as materialized (select key, (bad + prior * above) / (n + prior) mean, n + prior strength from {name}_c, {name}_p)"""
+
+    return f"""with p as materialized ({parts}),
+ q as materialized (select *, case when {last(2)} in ({two}) then {last(3)} else {last(2)} end dom, case when {last(2)} in ({two}) then {last(2)} else {last(1)} end suf
+ from (select *, string_split(host, '.') l from p)),
+ rules(h, r, action) as (values {', '.join(f"({quoted(h)}, {quoted(r)}, {quoted(a)})" for h, r, a in rules)}),
+ hit as (select page_id, max_by(h || r, length(h || r)) "rule", max_by(action, length(h || r)) action from q join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, r) group by page_id),
+ k as (select host, dom, suf, count(*)::double n, sum(cast(quality = 0 or toxic = 1 as integer))::double bad
+ from q join labels on labels.doc_id = try_cast(regexp_extract(url, '/(\\d{{1,18}})[^/\\d]*/?(?:[?#].*)?$', 1) as bigint) where (quality = 0 or toxic = 1) is not null group by all),
+ a as (select (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) mean, coalesce(sum(n), 0) + 1 strength from k),
+ {level("s", "select suf key, sum(n) n, sum(bad) bad, any_value(a.mean) above from k, a group by suf")},
+ {level("d", "select dom key, sum(n) n, sum(bad) bad, any_value(s.mean) above from k join s on s.key = suf group by dom")},
+ {level("h", "select host key, n, bad, d.mean above from k join d on d.key = dom")},
+ b as (select page_id, host, path, coalesce(h.mean, d.mean, s.mean, a.mean) m, coalesce(h.strength, d.strength, s.strength, a.strength) st
+ from q left join h on h.key = host left join d on d.key = dom left join s on s.key = suf, a),
+ c as (select *, m - {u.BOUND} * sqrt(m * (1 - m) / (st + 1)) bound from b)
+ select c.page_id, host, path, "rule", coalesce(action, case when bound > {u.MAX_BAD} then 'block' else 'allow' end) verdict, round(bound, 6) bad_bound from c left join hit using (page_id)"""
+
+
 # ---- op10: the same ranges by sorting
 
 
@@ -124,5 +159,5 @@ def op10() -> str:
  from d join b on b.source is not distinct from d.source"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": op1(), "op3_chat_format": op3(), "op4_quality_rules": op4(), "op10_mixing": op10()}
+def oracle_sql(url_rules: list[tuple[str, str, str]]) -> dict[str, str]:
+    return {"op1_secret_scan": op1(), "op3_chat_format": op3(), "op4_quality_rules": op4(), "op8_url_filter": op8(url_rules), "op10_mixing": op10()}

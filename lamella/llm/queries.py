@@ -86,7 +86,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = C.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("n"), bad)
     labelled = pages.select("url", F.regexp_extract("url", r"/(\d{1,18})[^/\d]*/?(?:[?#].*)?$", 1).try_cast("long").alias("n")).join(labels, "n").select("url", "bad")
     out = url_filter.judge(pages, URL_RULES, labelled)
-    return out.select("page_id", "host", "path", "rule", "verdict", "bad_bound")
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("bad_bound", 6).alias("bad_bound"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,4 +116,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql(URL_RULES)
