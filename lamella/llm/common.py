@@ -19,6 +19,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(**columns: Column) -> Column:
+    """For a select: columns that are evaluated once per row. A filter, join or lambda that uses one is not given its expression instead, as nothing is pushed through a generator."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
+def running(numbers: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running combinations (sums, maxima) of an array of int, by doubling: n log n for n numbers, where an array that grows in a fold costs n * n."""
+    shift = lambda a, i, k: F.get(a, i - F.call_function("shiftleft", F.lit(1), k))
+    step = lambda a, k: F.transform(a, lambda x, i: F.coalesce(combine(x, shift(a, i, k)), x)).cast("array<int>")
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(numbers))) - 1)
+    return F.aggregate(rounds, numbers.cast("array<int>"), step)
+
+
 def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

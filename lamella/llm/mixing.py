@@ -122,9 +122,9 @@ def mix(docs: DataFrame, size: Column, *, key: str = "doc_id", source: str = "so
     its own, ordered last; a source whose size is 0 has target 0 and no copies; an empty table gives no rows.
     """
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    own = [F.col(source).cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), key_hash(F.col(key)).alias("hash")]
-    by_source = F.broadcast(plan(C.stored(docs.select(*own), "sizes"), weights, share, most))  # at most MAX_SOURCES rows
-    sized = docs.select(row, *own)
+    own = C.once(source=F.col(source).cast("string"), size=F.coalesce(size, F.lit(0)).cast("long"), hash=key_hash(F.col(key)))
+    by_source = F.broadcast(plan(C.stored(docs.select(own), "sizes"), weights, share, most))  # at most MAX_SOURCES rows
+    sized = docs.select(row, own)
     once_more = F.exists("ranges", lambda r: (F.col("hash") >= r["low"]) & (F.col("hash") < r["high"]) & (F.col("size") <= r["largest"]))
     copies = F.when(F.col("source_size") > 0, F.col("base") + once_more.cast("long")).otherwise(F.lit(0)).cast("long")
     return sized.join(by_source, sized["source"].eqNullSafe(by_source["source"])).select("row", "size", "source_size", "target", copies.alias("copies"))

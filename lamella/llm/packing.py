@@ -63,7 +63,7 @@ def pack(docs: DataFrame, length: Column, *, n_buckets: int = 16, budget: int =
     """
     added = ["n_tokens", "bucket", "bucket_len", "batch", "slot"]
     own = [c for c in docs.columns if c not in added]
-    sized = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"), F.col(key).alias("key"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens"))
+    sized = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"), F.col(key).alias("key"), C.once(n_tokens=F.coalesce(length, F.lit(0)).cast("long")))
     cells = sorted(sized.groupBy(grid(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens"), F.count("*"), F.sum("n_tokens")).collect())
     if not cells:
         return sized.select("row.*", "n_tokens", *[F.lit(0).cast(t).alias(c) for c, t in zip(added[1:], ("int", "long", "long", "long"), strict=True)])

@@ -102,7 +102,7 @@ def judge(docs: DataFrame, *, text: str = "text", host: str = "source", keep: tu
     Results: a null or empty text has zeros and is base_failed; null hosts form one host; repeated rows count each; an empty table gives no rows;
     columns of docs may have any names.
     """
-    given = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(host).alias("host"), statistics(C.whole(text)).alias("stats"))
+    given = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(host).alias("host"), C.once(stats=statistics(C.whole(text))))
     given = C.stored(given.withColumns(failures()), "quality")
     rates = C.checkpointed(host_rates(given.select("host", (F.col("base_failed") | F.col("soft_failed")).alias("failed"))).select("host", F.col("rate").alias("host_rate")))
     rates = C.small(rates, BROADCAST_HOSTS).alias("r")
@@ -113,7 +113,7 @@ def judge(docs: DataFrame, *, text: str = "text", host: str = "source", keep: tu
 
 def kept(docs: DataFrame, *, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs that judge() keeps, with all columns. The statistics are computed twice, once for the hosts, so that no text is shuffled or stored."""
-    given = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host).alias("host"), statistics(C.whole(text)).alias("stats")).withColumns(failures())
+    given = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host).alias("host"), C.once(stats=statistics(C.whole(text)))).withColumns(failures())
     rates = C.checkpointed(host_rates(given.select("host", (F.col("base_failed") | F.col("soft_failed")).alias("failed"))).select("host", F.col("rate").alias("host_rate")))
     rates = C.small(rates.where(F.col("host_rate") > MAX_HOST_RATE), BROADCAST_HOSTS).alias("r")
     good = given.where(~F.col("base_failed"))
