@@ -215,9 +215,12 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     named = given.where("id is not null")
     sets_of = ["n", "h1", "h2"]
     some = known.where("n > 0 and id is not null")
-    copies = some.groupBy(*sets_of).agg(F.min("id").alias("rep"))
+    # Sets of several ids are few; stored, they meet their ids in a join that Spark can split where one set has very many.
+    copies = some.groupBy(*sets_of).agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep < other").drop("other")
+    copies = C.stored(copies, "copies")
     # Each id with the smallest id of its set. Sizes and sketches travel with it.
-    whose = C.stored(some.join(copies, sets_of).select("id", "rep", "n", *[f"s{i}" for i in range(PRUNE)]).distinct(), "sets")
+    whose = some.join(copies, sets_of, "left").select("id", F.coalesce("rep", "id").alias("rep"), "n", *[f"s{i}" for i in range(PRUNE)])
+    whose = C.stored(whose.distinct(), "sets")
     same = whose.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     # Buckets with two members or more. Copies stand for their set once they are looked up below.
