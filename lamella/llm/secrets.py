@@ -31,6 +31,7 @@ ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "w
 NEEDS = {"weak_id": ["secret"], "weak_secret": ["id"], "endpoint": ["id", "secret"]}
 #: Parts complete each other if their starts are at most so many code points apart and no blank line is between them.
 REACH = 200
+SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def found(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -39,28 +40,17 @@ def found(text: Column, pattern: str, kind: str, keep=None) -> Column:
 
     def placed(hits: Column) -> Column:
         def place(gaps: Column) -> Column:
-            # Start of a match: the gaps up to it and the matches before it.
-            step = F.aggregate(
-                F.sequence(F.lit(1), F.size(hits)),
-                F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out")),
-                lambda a, i: C.let(
-                    a["at"] + F.length(F.element_at(gaps, i)),
-                    lambda s: C.let(
-                        s + F.length(F.element_at(hits, i)),
-                        lambda e: F.struct(
-                            e.alias("at"),
-                            F.concat(a["out"], F.array(F.struct(s.alias("start"), index.alias("kind"), e.alias("end")))).alias("out"),
-                        ),
-                    ),
-                ),
-                lambda a: a["out"],
+            # A match ends behind the gaps up to it and the matches up to it.
+            sizes = F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))
+            spans = lambda ends: F.transform(
+                hits, lambda h, i: F.struct((F.get(ends, i) - F.length(h)).alias("start"), index.alias("kind"), F.get(ends, i).alias("end"))
             )
-            if keep is None:
-                return step
-            good = F.transform(hits, keep)
-            return C.let(good, lambda g: F.filter(step, lambda _, i: F.get(g, i)))
+            return C.let(sizes, lambda z: C.let(C.running(z, lambda x, y: x + y), spans))
 
-        return F.when(F.size(hits) > 0, C.let(F.split(text, pattern, -1), place)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+        some = C.let(F.split(text, pattern, -1), place)
+        if keep is not None:
+            some = F.filter(some, lambda _, i: keep(F.get(hits, i)))
+        return F.when(F.size(hits) > 0, some).otherwise(F.array()).cast(SPANS)
 
     return C.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
@@ -104,9 +94,6 @@ def linked(parts: DataFrame) -> DataFrame:
     return first
 
 
-SPANS = "array<struct<start:int,kind:int,end:int>>"
-
-
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each row of docs: row (a struct of the columns keep), then base and spans, each an array of struct(start, kind, end) sorted by start, then kind.
 
@@ -135,15 +122,15 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
 def merged(spans: Column) -> Column:
     """Sorted spans as disjoint struct(start, end), overlapping or touching ones united."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
 
-    def add(a: Column, s: Column) -> Column:
-        last = F.element_at(a, F.size(a))
-        apart = (F.size(a) == 0) | (F.get(a, F.size(a) - 1)["end"] < s["start"])
-        grown = F.concat(F.slice(a, 1, F.greatest(F.lit(0), F.size(a) - 1)), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(apart, F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(grown)
+    def united(far: Column) -> Column:
+        """far: the furthest end so far, at each span. A span behind it begins a new one."""
+        places = F.sequence(F.lit(0), F.size(spans) - 1)
+        firsts = F.filter(places, lambda i: (i == 0) | (F.get(far, i - 1) < F.get(spans, i)["start"]))
+        last = lambda b, j: F.coalesce(F.get(b, j + 1), F.size(spans)) - 1
+        return C.let(firsts, lambda b: F.transform(b, lambda i, j: F.struct(F.get(spans, i)["start"].alias("start"), F.get(far, last(b, j)).alias("end"))))
 
-    return F.aggregate(spans, none, add)
+    return C.let(F.transform(spans, lambda s: s["end"]), lambda e: C.let(C.running(e, F.greatest), united))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

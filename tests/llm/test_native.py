@@ -113,3 +113,11 @@ def test_quality_rules(spark):
         assert abs(r["host_rate"] - rate) < 1e-9
         assert r["kept"] == (not r["base_failed"] and not (rate > 0.5 and r["soft_failed"]))
     assert quality_rules.judge(data.documents(spark, [])).count() == 0
+
+
+def test_many_secrets_in_one_text(spark):
+    n = 30_000
+    docs = spark.createDataFrame([(1, "token=abcdef " * n)], "doc_id long, text string")
+    (r,) = secrets.scan(docs).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last")).collect()
+    assert r["n"] == n and tuple(r["last"]) == (13 * (n - 1), 0, 13 * n - 1)
+    assert secrets.redact(docs).first()["text"] == "[SECRET] " * n
