@@ -75,16 +75,13 @@ def chat(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: s
             ),
         )
     )
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    loss = F.aggregate(
-        pieces,
-        none,
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["length"] + p["after"]).alias("at"),
-            F.when(p["learn"], F.concat(a["spans"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), p["length"].alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
+    size = F.transform("p", lambda p: p["gap"] + p["length"] + p["after"])
+    spans = lambda ends: F.transform(
+        "p", lambda p, i: F.struct(p["learn"].alias("learn"), (F.get(ends, i) - p["after"] - p["length"]).alias("start"), p["length"].alias("length"))
     )
+    convs = convs.select("conv_id", "n_turns", "n_messages", "w", pieces.alias("p"))
+    placed = C.let(size, lambda z: C.let(C.running(z, lambda x, y: x + y), spans))
+    loss = F.transform(F.filter(placed, lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     return convs.select("conv_id", "n_turns", "n_messages", F.array_join(whole, "").alias("formatted"), loss.alias("loss"))
 
 
