@@ -5,8 +5,9 @@ sketch and XORed into it, so that the words in which two sketches differ are at
 most the shingles in which two sets differ. Two sets that link differ in at most
 D shingles, where D follows from the sizes of a size band; with more than D words
 some word must agree, so sketches are joined word by word within a band
-(pigeonhole). A second parity sketch of single bits prunes candidates, and what
-is left is verified on the sets themselves.
+(pigeonhole). A second parity sketch of single bits prunes candidates, a third
+one that grows with the set prunes those of large sets, and what is left is
+verified on the sets themselves.
 
 Equal sets are collapsed first. In a bucket of equal words only the pairs with
 its smallest member are made. A second pass takes the buckets whose members did
@@ -30,6 +31,8 @@ from . import kernel
 U = np.uint64
 #: Longs of the pruning sketch; one bit for each shingle.
 PRUNE = 16
+#: Bits of the growing sketch for each shingle in which sets that link may differ, at least.
+FINE = 8
 #: Words by which a pair that shares several buckets is told from itself.
 FIRST_WORDS = 32
 #: Ratio of the size bands.
@@ -75,6 +78,22 @@ def prune_bits(x: np.ndarray) -> np.ndarray:
     return np.packbits(bit.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def fine_bits(x: np.ndarray, num: int, den: int) -> bytes:
+    """Parity of the shingles dealt to each of 64 * 2^i bits, FINE times the shingles that may differ or more. Halves XORed are the sketch of half as many bits."""
+    bits = max(64, 1 << (FINE * 2 * len(x) * (den - num) // (den + num)).bit_length())
+    at = (kernel.mix(x ^ U(0x9FB21C651E98DF25)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fine_differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two growing sketches differ, the longer one folded: at most the shingles in which the sets differ."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z lower-cased."""
     for _, _, data, offsets in kernel.groups(texts):
@@ -84,21 +103,22 @@ def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(kernel.shingles(h[a:b], k))
 
 
-PROFILE = "id long, n long, h1 long, h2 long, " + ", ".join(f"s{i} long" for i in range(PRUNE))
+PROFILE = "id long, n long, h1 long, h2 long, " + ", ".join(f"s{i} long" for i in range(PRUNE)) + ", fine binary"
 
 
-def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """id, n (set size), h1 and h2 (the set's identity), s0.. (pruning sketch) for each row of docs (id, text)."""
+def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """id, n (set size), h1 and h2 (the set's identity), s0.. (pruning sketch), fine (growing sketch) for each row of docs (id, text)."""
 
     def run(batches):
         for b in batches:
-            rows = []
+            rows, fine = [], []
             for x in sets(b.column("text"), k):
+                fine.append(fine_bits(x, num, den))
                 y = kernel.mix(x ^ U(0xD6E8FEB86659FD93))
                 rows.append(np.concatenate([np.array([len(x)], np.int64), np.array([np.add.reduce(x), np.bitwise_xor.reduce(y)], U).view(np.int64), prune_bits(x)]))
             m = np.stack(rows) if rows else np.empty((0, PRUNE + 3), np.int64)
-            names = ["id", "n", "h1", "h2", *[f"s{i}" for i in range(PRUNE)]]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(np.ascontiguousarray(m[:, i])) for i in range(m.shape[1])]], names)
+            names = ["id", "n", "h1", "h2", *[f"s{i}" for i in range(PRUNE)], "fine"]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(np.ascontiguousarray(m[:, i])) for i in range(m.shape[1])], pa.array(fine, pa.binary())], names)
 
     return docs.mapInArrow(run, PROFILE)
 
@@ -139,6 +159,23 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "word long, id long")
 
 
+def refined(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the growing sketches of known (id, n, fine) allow."""
+    one, two = (known.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("fine").alias(f"f{i}")) for i in ("a", "b"))
+
+    def compare(batches):
+        for b in batches:
+            good = []
+            for n, o, x, y in zip(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb")), b.column("fa"), b.column("fb"), strict=True):
+                d = fine_differing(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U))
+                good.append(d * (den + num) <= (int(n) + int(o)) * (den - num))
+            b = b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            if b.num_rows:
+                yield b
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(compare, "a long, b long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link. Sets of the texts in any pair are computed again and sent to the pairs."""
     pairs = C.stored(pairs, "pairs")
@@ -211,7 +248,7 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     spark = docs.sparkSession
     C.arrow_rows(spark, 256)
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    known = C.stored(profiles(given, words), "profiles")
+    known = C.stored(profiles(given, words, num, den), "profiles")
     named = given.where("id is not null")
     sets_of = ["n", "h1", "h2"]
     some = known.where("n > 0 and id is not null")
@@ -235,7 +272,7 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
 
     stars = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tried = candidates(stars)
-    edges = C.stored(verified(named, tried, words, num, den).unionByName(same), "links")
+    edges = C.stored(verified(named, refined(tried, known, num, den), words, num, den).unionByName(same), "links")
     found = components(edges)
 
     # Buckets whose members are in different components: their pairs that were not tried, pruned inside the join.
@@ -251,7 +288,7 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     here = F.coalesce(F.array_min(F.array_intersect("l.first", "r.first")), F.col("l.word")) == F.col("l.word")
     rest = l.join(r, (F.col("l.word") == F.col("r.word")) & apart & possible("l", "r", num, den) & here)
     rest = rest.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).where("a <> b").distinct()
-    more = C.stored(verified(named, rest, words, num, den), "more")
+    more = C.stored(verified(named, refined(rest, known, num, den), words, num, den), "more")
     if more.limit(1).count():
         found = components(edges.unionByName(more))
     return known.join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))

@@ -21,7 +21,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jaccard_join.link(C.table(spark, sf_dir, "documents"))
+    out = jaccard_join.link(C.table(spark, sf_dir, "documents"), words=4, num=85, den=100)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 

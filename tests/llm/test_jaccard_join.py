@@ -112,3 +112,18 @@ def test_words_stand_alone():
     assert got == [(t or "").encode().split() for t in texts]
     h = kernel.span_hashes(d, s, e)
     assert h[0] == h[4] == h[-1] and len(set(h.tolist())) == 4
+
+
+def test_growing_sketches_bound_the_difference():
+    r = np.random.default_rng(5)
+    for n in (1, 3, 40, 900, 5000):
+        x = r.integers(0, 2**63, n).astype(np.uint64)
+        for keep in (n, n * 4 // 5, n // 2, 0):
+            y = np.concatenate([x[:keep], r.integers(0, 2**63, n // 4).astype(np.uint64)])
+            if len(y):
+                a, b = (np.frombuffer(jaccard_join.fine_bits(z, 80, 100), np.uint64) for z in (x, y))
+                d = len(np.setxor1d(x, y))
+                found = jaccard_join.fine_differing(a, b)
+                assert found == jaccard_join.fine_differing(b, a) <= d
+                limit = (len(x) + len(y)) * 20 / 180
+                assert n < 900 or found > limit or d < 1.5 * limit

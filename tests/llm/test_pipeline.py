@@ -6,7 +6,7 @@ import corpus_pipeline
 from lamella.llm import mixing, packing
 
 from . import data
-from .test_jaccard_join import brute
+from .test_jaccard_join import brute, near, shingles
 from .test_native import linked, stats
 
 
@@ -77,3 +77,19 @@ def test_stages(spark, tmp_path):
     assert packing.STEPS == 64
 
     assert strip(corpus_pipeline.run(spark, sf).collect()) == strip(kept["pack"])
+
+
+def test_near_duplicates_share_four_fifths_of_five_words(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = near(3) + [" ".join(words), " ".join(words + [f"x{i}" for i in range(80)])]
+    sets = [shingles(t, 5) for t in texts]
+    component = list(range(len(texts)))
+    for x, a in enumerate(sets):
+        for y, b in enumerate(sets[:x]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                p, q = sorted((component[x], component[y]))
+                component = [p if c == q else c for c in component]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted(set(component))
+    assert got != sorted({c for _, _, c in brute(list(enumerate(texts)))})
