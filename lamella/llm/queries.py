@@ -14,7 +14,7 @@ def n_words() -> Column:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan(C.table(spark, sf_dir, "documents"))
+    out = secrets.scan(C.table(spark, sf_dir, "documents"), starts=True)  # as its SQL has it
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     digest = F.sha2(secrets.joined(F.col("base")).cast("binary"), 256)
     return out.select("row.doc_id", count("assign"), count("access"), count("hex"), digest.alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))

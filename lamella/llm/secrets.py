@@ -29,7 +29,7 @@ KINDS = ["assign", "access", "hex", *WEAK]
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
 #: The roles that must all occur near a weak part.
 NEEDS = {"weak_id": ["secret"], "weak_secret": ["id"], "endpoint": ["id", "secret"]}
-#: Parts complete each other if their starts are at most so many code points apart and no blank line is between them.
+#: Parts complete each other if at most so many code points are between them (or between their starts) and no blank line is.
 REACH = 200
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -69,35 +69,38 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def linked(parts: DataFrame) -> DataFrame:
-    """The weak parts that are complete. parts: doc, scope, kind (index), start, end.
+def linked(parts: DataFrame, starts: bool = False) -> DataFrame:
+    """The weak parts that are complete. parts: doc, scope, kind (index), start, end. starts: parts are near by their starts, not by the gap between them.
 
-    An interval semi-join for each role that a kind needs: a weak part probes the bins of REACH code points around it, on document, scope
-    and bin, and leaves one row at most. A bin holds at most REACH distinct starts of a role.
+    An interval semi-join for each role that a kind needs: a part is in all bins of REACH code points that it covers, a weak part probes the
+    bins of itself and of REACH code points around it, on document, scope and bin, and leaves one row at most. Matches of a kind do not
+    overlap, so a text has at most a row for each REACH of its code points and kind, and a few for each part.
     """
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("kind") + 1)
-    at = parts.select("doc", "scope", role.alias("role"), F.col("start").alias("at"), F.floor(F.col("start") / REACH).alias("bin")).distinct()
+    parts = parts.withColumn("to", F.col("start" if starts else "end"))
+    b = lambda at: F.floor(at / REACH)
+    at = parts.select("doc", "scope", role.alias("role"), "start", "to").distinct()
+    at = at.withColumn("bin", F.explode(F.sequence(b(F.col("start")), b(F.col("to")))))
     out = []
     for kind, needs in NEEDS.items():
         weak = parts.where(F.col("kind") == KINDS.index(kind)).distinct()
         for need in needs:
-            b = F.floor(F.col("start") / REACH)
-            probes = weak.select("*", F.explode(F.sequence(b - 1, b + 1)).alias("bin")).alias("w")
+            probes = weak.select("*", F.explode(F.sequence(b(F.col("start") - REACH), b(F.col("to") + REACH))).alias("bin")).alias("w")
             other = at.where(F.col("role") == need).alias("o")
             same = [F.col(f"w.{c}") == F.col(f"o.{c}") for c in ("doc", "scope", "bin")]
-            near = F.abs(F.col("w.start") - F.col("o.at")) <= REACH
+            near = (F.col("w.start") - F.col("o.to") <= REACH) & (F.col("o.start") - F.col("w.to") <= REACH)
             weak = probes.join(other, [*same, near], "left_semi").drop("bin").distinct()
-        out.append(weak)
+        out.append(weak.drop("to"))
     first, *rest = out
     for x in rest:
         first = first.unionByName(x)
     return first
 
 
-def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), starts: bool = False) -> DataFrame:
     """A row for each row of docs: row (a struct of the columns keep), then base and spans, each an array of struct(start, kind, end) sorted by start, then kind.
 
-    kind is the place in KINDS. base has the strong spans, spans those and the complete weak parts. What is linked depends on the text alone,
+    kind is the place in KINDS. base has the strong spans, spans those and the complete weak parts; starts is as in linked(). What is linked depends on the text alone,
     so parts are joined by the text's MD5 and copies of a text are linked once.
     Results: a null or empty text has empty arrays; repeated rows are reported each; an empty table gives no rows. Columns of docs may have any
     names.
@@ -111,7 +114,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     rows = C.stored(rows, "secrets")
     parts = rows.where(F.col("doc").isNotNull()).select("doc", "breaks", F.explode(F.concat("base", "weak")).alias("p"))
     scope = F.size(F.filter("breaks", lambda b: b["start"] < F.col("p.start")))
-    complete = linked(parts.select("doc", scope.alias("scope"), "p.kind", "p.start", "p.end"))
+    complete = linked(parts.select("doc", scope.alias("scope"), "p.kind", "p.start", "p.end"), starts)
     complete = complete.groupBy("doc").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     # Rows without weak parts need no partner; their join key is spread out.
     rows = rows.withColumn("doc", F.coalesce("doc", F.xxhash64("row").cast("string")))
