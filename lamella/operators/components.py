@@ -136,13 +136,14 @@ def united_table(edges: DataFrame) -> DataFrame:
     return edges.repartition(1).mapInPandas(one, "id long, root long")
 
 
-def star_components(edges: DataFrame) -> DataFrame:
+def star_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """id, root: the smallest id connected by edges (a, b), for all ids but the roots.
 
-    Few edges are united in one task; more by alternating large-star and small-star steps, each round of which is stored.
+    Up to one_task edges are united in one task; more by alternating large-star and small-star steps, each round of which is stored; their number
+    grows with the logarithm of the longest path.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    if edges.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
+    if edges.limit(one_task + 1).count() <= one_task:
         return united_table(edges)
     last = None
     while True:
