@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.session import shared_dir, stored  # noqa: F401
+
 #: A word is a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -40,36 +40,26 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where it is unset (local runs)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lamella-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: smaller than a checkpoint, with column pruning."""
-    path = f"{shared_dir(df.sparkSession)}/lamella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, broadcast if it has at most so many rows; counting should be cheap, so df is stored or checkpointed."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def arrow_rows(spark: SparkSession, n: int) -> None:
-    """Rows per Arrow batch sent to Python: whole texts are long, so batches are short to bound the workers' memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+#: Rows of an Arrow batch that is sent to Python, at most: whole texts are long, so batches are short to bound the workers' memory.
+ARROW_ROWS = 256
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ARROW_ROWS rows at most; the same for all operators, so the order of calls does not matter."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

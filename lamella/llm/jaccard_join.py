@@ -5,14 +5,19 @@ sketch and XORed into it, so that the words in which two sketches differ are at
 most the shingles in which two sets differ. Two sets that link differ in at most
 D shingles, where D follows from the sizes of a size band; with more than D words
 some word must agree, so sketches are joined word by word within a band
-(pigeonhole). A second parity sketch of single bits prunes candidates, a third
-one that grows with the set prunes those of large sets, and what is left is
-verified on the sets themselves.
+(pigeonhole). A second parity sketch of single bits prunes candidates by Hamming
+distance, a third one that grows with the set prunes those of large sets, and
+what is left is verified on the sets themselves. Where it departs from a plain bit
+sketch: the pigeons are 64-bit XORs, not bits, as a bit agrees by chance and an
+XOR does not, so buckets stay small.
 
 Equal sets are collapsed first. In a bucket of equal words only the pairs with
-its smallest member are made. A second pass takes the buckets whose members did
-not all end in one component and makes their missing pairs, so no link is lost
-and large groups of copies cost no more than their size.
+its smallest member are made; a word that is frequent in a task has a bucket of
+its own there, so no bucket grows with the largest group. A second pass takes the
+words whose members did not all end in one component and makes their missing
+pairs, so no link is lost and large groups of copies cost no more than their
+size. Before that, texts leave it that have too many shingles which no other text
+of the second pass has: these are in no intersection.
 """
 
 from __future__ import annotations
@@ -22,9 +27,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.operators.components import star_components
+
 from . import common as C
 from . import kernel
 
@@ -39,6 +47,12 @@ FIRST_WORDS = 32
 BAND = 1.6
 #: A set of at most so many ids may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one set that are verified together: the set is sent once for so many.
+CHUNK = 64
+#: A task takes a word for frequent after so many texts with it, of those that share their batch with another.
+FREQUENT = 16
+#: Frequent words that a task keeps.
+KEPT_WORDS = 100_000
 
 
 def bands(num: int, den: int, upto: int) -> Iterator[tuple[int, int, int]]:
@@ -123,11 +137,52 @@ def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, PROFILE)
 
 
+class Frequent:
+    """Deals the texts of words that are frequent in this task to buckets of the task, which the first text with the word ties to the others."""
+
+    def __init__(self, bucket: int):
+        self.bucket = bucket
+        self.count: dict[int, int] = {}
+        self.first: dict[int, int] = {}
+
+    def deal(self, words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """words, bucket (0: the common one), ids; rows may be added."""
+        bucket = np.zeros(len(words), np.int64)
+        if len(self.count) > KEPT_WORDS:
+            self.count.clear()
+            self.first.clear()
+        order = np.argsort(words, kind="stable")
+        ordered = words[order]
+        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        sizes = np.diff(np.append(heads, len(words)))
+        frequent = np.array(list(self.first), U)
+        frequent.sort()
+        at = np.minimum(np.searchsorted(frequent, ordered[heads]), max(0, len(frequent) - 1))
+        known = frequent[at] == ordered[heads] if len(frequent) else np.zeros(len(heads), bool)
+        more_words, more_ids = [], []
+        for h, n, old in zip(heads[(sizes > 1) | known].tolist(), sizes[(sizes > 1) | known].tolist(), known[(sizes > 1) | known].tolist(), strict=True):
+            word, rows = int(ordered[h]), order[h : h + n]
+            if old:
+                bucket[rows] = self.bucket
+                continue
+            self.count[word] = self.count.get(word, 0) + n
+            if self.count[word] >= FREQUENT:
+                self.first[word] = int(ids[rows[0]])
+                more_words.append(word)
+                more_ids.append(self.first[word])
+                bucket[rows[1:]] = self.bucket
+        return np.concatenate([words, np.array(more_words, U)]), np.concatenate([bucket, np.full(len(more_words), self.bucket)]), np.concatenate([ids, np.array(more_ids, np.int64)])
+
+
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """word, id: the sketch words of each text in each band of its size. A set seen before in the same partition is left out: its first text stands for it."""
+    """word, bucket, id: the sketch words of each text in each band of its size. A set seen before in the same partition is left out: its first text stands for it.
+
+    bucket parts the texts of a word that is frequent in a task; texts of one word in different buckets are tied by a text that is in both.
+    """
 
     def run(batches):
         seen: set[tuple[int, int, int]] = set()
+        frequent = Frequent(TaskContext.get().partitionId() + 1)
         table = list(bands(num, den, 1))
         for b in batches:
             ids = b.column("id").to_numpy(zero_copy_only=False)
@@ -154,9 +209,10 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         keys.append(kernel.mix(w + kernel.mix(place)))
                         owners.append(np.full(len(w), i))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners).astype(np.int64))], ["word", "id"])
+                words, bucket, ids = frequent.deal(np.concatenate(keys), np.concatenate(owners).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(bucket), pa.array(ids)], ["word", "bucket", "id"])
 
-    return docs.mapInArrow(run, "word long, id long")
+    return docs.mapInArrow(run, "word long, bucket long, id long")
 
 
 def refined(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
@@ -176,54 +232,76 @@ def refined(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(compare, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Sets of the texts in any pair are computed again and sent to the pairs."""
-    pairs = C.stored(pairs, "pairs")
-    ids = C.stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id, set for each text whose id is in ids."""
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in sets(b.column("text"), k)], pa.binary())], ["id", "set"])
 
-    found = docs.join(C.small(ids, BROADCAST_IDS), "id", "left_semi").mapInArrow(run, "id long, set binary").alias("f")
-    both = pairs.join(found.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return docs.join(C.small(ids, BROADCAST_IDS), "id", "left_semi").mapInArrow(run, "id long, set binary")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. The sets of the texts in any pair are computed again, once; that of b goes to its pairs, that of a once to each CHUNK of its pairs."""
+    pairs = C.stored(pairs, "pairs")
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    partners = pairs.join(chunks, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("kind"))
+    hubs = chunks.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"))
+    sends = C.stored(hubs.unionByName(partners), "sends")
+    found = sets_of(docs, C.stored(sends.select("id").distinct(), "ids"), k)
+    # A hub's set stands before those of its partners.
+    met = found.join(C.small(sends, BROADCAST_IDS), "id").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "kind")
 
     def compare(batches):
+        now, own = None, {}
         for b in batches:
             good = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                z = np.concatenate([x, y])
-                z.sort()
-                both = int((z[1:] == z[:-1]).sum())
-                good.append(den * both >= num * (len(x) + len(y) - both))
-            b = b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-            if b.num_rows:
-                yield b
+            for hub, chunk, kind, i, value in zip(*(b.column(c).to_pylist() for c in ("hub", "chunk", "kind", "id")), b.column("set"), strict=True):
+                if now != (hub, chunk):
+                    now, own = (hub, chunk), {}
+                y = np.frombuffer(value.as_buffer(), U)
+                if not kind:
+                    own[len(y), int(np.add.reduce(y)), int(np.bitwise_xor.reduce(kernel.mix(y)))] = y.copy()
+                    continue
+                for x in own.values():
+                    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+                        continue
+                    z = np.concatenate([x, y])
+                    z.sort()
+                    both = int((z[1:] == z[:-1]).sum())
+                    if den * both >= num * (len(x) + len(y) - both):
+                        good.append((hub, i))
+                        break
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*good, strict=True)], ["a", "b"])
+
+    return met.select("hub", "chunk", "kind", "id", "set").mapInArrow(compare, "a long, b long").distinct()
+
+
+def sharing(docs: DataFrame, known: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """id of the texts of known (id, n) that may link with another text of known: at least num / den of their shingles are in one more of these texts.
+
+    A shingle that only one of the texts has is in no intersection. Shingles are counted by partial sums; what returns to a text is the number of
+    those that it has alone. An id with several texts stays if it may for the smallest of them.
+    """
+    known = C.stored(known.groupBy("id").agg(F.sum("n").alias("n"), F.min("n").alias("least")), "sharing")
+
+    def run(batches):
+        for b in batches:
+            ids, values = b.column("id").to_numpy(zero_copy_only=False), [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("set")]
+            for i in range(0, len(values), 32):
+                some = values[i : i + 32]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(np.repeat(ids[i : i + 32], [len(x) for x in some]))], ["shingle", "id"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    shingles = sets_of(docs, known.select("id"), k).mapInArrow(run, "shingle long, id long")
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("id").alias("id")).where("texts = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    return known.join(alone, "id", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * den >= F.col("least") * num).select("id")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component: the smallest id reachable by edges (a, b), for every id but the smallest ones themselves.
-
-    Alternating large-star and small-star steps; each round is cut by a checkpoint, and the number of rounds grows with the logarithm of the longest path.
-    """
-    edges = C.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    last = None
-    while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: larger neighbours of u point to the smallest of u and its neighbours.
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: u and its smaller neighbours point to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = C.stored(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        last = now
+    """id, component: the smallest id reachable by edges (a, b), for every id but the smallest ones themselves; never in one task."""
+    return star_components(edges, one_task=0).withColumnRenamed("root", "component")
 
 
 def differing(a: str, b: str) -> Column:
@@ -237,61 +315,98 @@ def possible(a: str, b: str, num: int, den: int) -> Column:
     return (small * den >= large * num) & (differing(a, b) * (den + num) <= (small + large) * (den - num))
 
 
-def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+class Sketched:
+    """What the passes of a join share: known (sizes and sketches of all rows), whose (each id with the smallest id of its set), same (edges of copies), buckets."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, words: int, num: int, den: int):
+        self.spec = (words, num, den)
+        C.short_batches(docs.sparkSession)
+        given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+        self.known = C.stored(profiles(given, words, num, den), "profiles")
+        self.named = given.where("id is not null")
+        set_of = ["n", "h1", "h2"]
+        some = self.known.where("n > 0 and id is not null")
+        # Sets of several ids are few; stored, they meet their ids in a join that Spark can split where one set has very many.
+        copies = some.groupBy(*set_of).agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep < other").drop("other")
+        copies = C.stored(copies, "copies")
+        # Each id with the smallest id of its set. Sizes and sketches travel with it.
+        whose = some.join(copies, set_of, "left").select("id", F.coalesce("rep", "id").alias("rep"), "n", *[f"s{i}" for i in range(PRUNE)])
+        self.whose = C.stored(whose.distinct(), "sets")
+        self.same = self.whose.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        # Buckets with two members or more. Copies stand for their set once they are looked up below.
+        one = Window.partitionBy("word", "bucket")
+        buckets = signatures(self.named, words, num, den).withColumn("lead", F.min("id").over(one)).withColumn("members", F.count("*").over(one))
+        self.buckets = C.stored(buckets.where("members > 1").drop("members"), "buckets")
+
+    def linking(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
+        words, num, den = self.spec
+        return verified(self.named, refined(pairs, self.known, num, den), words, num, den)
+
+    def stars(self) -> DataFrame:
+        """Pairs of set representatives: each bucket's smallest member with the others."""
+        _, num, den = self.spec
+        pairs = self.buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+        pairs = pairs.alias("p").join(self.whose.alias("l"), F.col("p.a") == F.col("l.id")).join(self.whose.alias("r"), F.col("p.b") == F.col("r.id"))
+        pairs = pairs.where(F.col("l.rep") != F.col("r.rep")).where(possible("l", "r", num, den))
+        return pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+
+    def within(self, members: DataFrame, apart: Column) -> DataFrame:
+        """Pairs of set representatives that share a word, of members (word, bucket, id, lead, ...) l and r for which apart holds, pruned inside of the join.
+
+        A pair meets in every word that it shares; it is made in the first one, as far as the first words of both tell, else in each.
+        """
+        _, num, den = self.spec
+        first = members.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("word")), 1, FIRST_WORDS).alias("first"))
+        members = C.stored(members.join(first, "id").join(self.whose, "id"), "open")
+        l, r = members.alias("l"), members.alias("r")
+        here = F.coalesce(F.array_min(F.array_intersect("l.first", "r.first")), F.col("l.word")) == F.col("l.word")
+        pairs = l.join(r, (F.col("l.word") == F.col("r.word")) & apart & possible("l", "r", num, den) & here)
+        return pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).where("a <> b").distinct()
+
+
+def mixed(members: DataFrame) -> DataFrame:
+    """The members (word, component, ...) of words whose members are in different components."""
+    words = members.groupBy("word").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("word")
+    return members.join(words, "word", "left_semi")
+
+
+def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """id, n_shingles, component for each row of docs: the smallest id reachable by links, itself included.
 
     Two texts link if their sets of distinct shingles of so many words (A-Z lower-cased; with fewer words the whole sequence is the one
-    shingle) share at least num / den of their union. Shingles are compared by 64-bit hash.
+    shingle) share at least num / den of their union. Shingles are compared by 64-bit hash. Only components are found: of the links inside of one,
+    as many as it takes; links() finds all.
     Results: a null or empty text has no shingles and links with nothing; rows with the same id are one node with the links of all of them;
-    rows with a null id keep n_shingles, link with nothing and have a null component; an empty table gives no rows. Other columns are ignored.
+    rows with a null id keep n_shingles, link with nothing and have a null component; an id that is no integer fails the cast; an empty table
+    gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    C.arrow_rows(spark, 256)
-    given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    known = C.stored(profiles(given, words, num, den), "profiles")
-    named = given.where("id is not null")
-    sets_of = ["n", "h1", "h2"]
-    some = known.where("n > 0 and id is not null")
-    # Sets of several ids are few; stored, they meet their ids in a join that Spark can split where one set has very many.
-    copies = some.groupBy(*sets_of).agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep < other").drop("other")
-    copies = C.stored(copies, "copies")
-    # Each id with the smallest id of its set. Sizes and sketches travel with it.
-    whose = some.join(copies, sets_of, "left").select("id", F.coalesce("rep", "id").alias("rep"), "n", *[f"s{i}" for i in range(PRUNE)])
-    whose = C.stored(whose.distinct(), "sets")
-    same = whose.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-
-    # Buckets with two members or more. Copies stand for their set once they are looked up below.
-    by_word = Window.partitionBy("word")
-    buckets = signatures(named, words, num, den).withColumn("lead", F.min("id").over(by_word)).withColumn("members", F.count("*").over(by_word))
-    buckets = C.stored(buckets.where("members > 1"), "buckets")
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.alias("p").join(whose.alias("l"), F.col("p.a") == F.col("l.id")).join(whose.alias("r"), F.col("p.b") == F.col("r.id"))
-        pairs = pairs.where(F.col("l.rep") != F.col("r.rep")).where(possible("l", "r", num, den))
-        return pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-
-    stars = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    tried = candidates(stars)
-    edges = C.stored(verified(named, refined(tried, known, num, den), words, num, den).unionByName(same), "links")
+    t = Sketched(docs, key, text, words, num, den)
+    edges = C.stored(t.linking(t.stars()).unionByName(t.same), "links")
     found = components(edges)
 
-    # Buckets whose members are in different components: their pairs that were not tried, pruned inside the join.
-    member = buckets.where("members > 2").join(found, "id", "left").select("word", "id", "lead", F.coalesce("component", "id").alias("component"))
-    member = C.stored(member, "members")
-    mixed = member.groupBy("word").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("word")
-    open_ = member.join(mixed, "word", "left_semi")
-    # A pair meets in every bucket that it shares; it is made in the first one, as far as the first words of both tell, else in each.
-    first = open_.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("word")), 1, FIRST_WORDS).alias("first"))
-    open_ = C.stored(open_.join(first, "id").join(whose, "id"), "open")
-    l, r = open_.alias("l"), open_.alias("r")
-    apart = (F.col("l.component") < F.col("r.component")) & (F.col("l.id") != F.col("l.lead")) & (F.col("r.id") != F.col("r.lead"))
-    here = F.coalesce(F.array_min(F.array_intersect("l.first", "r.first")), F.col("l.word")) == F.col("l.word")
-    rest = l.join(r, (F.col("l.word") == F.col("r.word")) & apart & possible("l", "r", num, den) & here)
-    rest = rest.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).where("a <> b").distinct()
-    more = C.stored(verified(named, refined(rest, known, num, den), words, num, den), "more")
+    # Words whose members are in different components: their pairs that were not tried.
+    members = C.stored(t.buckets.join(found, "id", "left").select("word", "bucket", "id", "lead", F.coalesce("component", "id").alias("component")), "members")
+    open_ = C.stored(mixed(members).join(t.whose.select("id", "rep").distinct(), "id"), "apart")
+    texts = t.whose.select(F.col("id").alias("rep"), "n").join(open_.select("rep").distinct(), "rep").select(F.col("rep").alias("id"), "n")
+    stay = C.stored(sharing(t.named, texts, words, num, den), "stay")
+    open_ = mixed(open_.join(C.small(stay.select(F.col("id").alias("rep")), BROADCAST_IDS), "rep", "left_semi").drop("rep").distinct())
+    tried = (F.col("l.bucket") == F.col("r.bucket")) & ((F.col("l.id") == F.col("l.lead")) | (F.col("r.id") == F.col("r.lead")))
+    rest = t.within(open_, (F.col("l.component") < F.col("r.component")) & ~tried)
+    more = C.stored(t.linking(rest), "more")
     if more.limit(1).count():
         found = components(edges.unionByName(more))
-    return known.join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    return t.known.join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+
+
+def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links: pairs (a, b) with a < b between set representatives, and the membership (id, rep) of each row with a set and an id.
+
+    The representative of a set is its smallest id; equal sets are linked by membership alone. The pairs of a group of near copies are as many as
+    it has, so they grow with the square of its size; link() does without them. Results: as in link().
+    """
+    t = Sketched(docs, key, text, words, num, den)
+    return t.linking(t.within(t.buckets, F.col("l.id") < F.col("r.id"))), t.whose.select("id", "rep").distinct()
 
 
 def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

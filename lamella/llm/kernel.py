@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Texts are taken in groups of about so many bytes, to bound the memory of a worker.
-GROUP_BYTES = 2 << 20
+#: Texts are taken, and spans hashed, in groups of about so many bytes, to bound the memory of a worker.
+GROUP_BYTES = 256 << 10
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -28,30 +28,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTES = mix(np.arange(1, 257, dtype=U))
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
-_powers = [np.ones(1, U), np.ones(1, U)]
+_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and INVERSE ** i modulo 2 ** 64 for i < n at least."""
-    if len(_powers[0]) < n:
-        m = 1 << max(16, (n - 1).bit_length())
-        for k, b in enumerate((BASE, INVERSE)):
-            p = np.full(m, b, U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+def powers(n: int) -> list[np.ndarray]:
+    """BASE ** i and INVERSE ** i modulo 2 ** 64 for i < n at least. Tables for more than a group (one very long span) are not kept."""
+    if _powers and n <= len(_powers[0]):
+        return _powers
+    made = []
+    for b in (BASE, INVERSE):
+        p = np.full(max(n, GROUP_BYTES + 1), b, U)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= GROUP_BYTES + 1:
+        _powers[:] = made
+    return made
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of data[start:end] for each span, the same wherever a span stands. fold: a byte table applied first."""
-    if not len(start):
-        return np.empty(0, U)
-    up, down = powers(len(data) + 1)
+    """64-bit hashes of data[start:end] for each span, the same wherever a span stands; spans ascend and do not overlap. fold: a byte table applied first."""
+    out = np.empty(len(start), U)
     table = BYTES if fold is None else BYTES[fold]
-    sums = np.empty(len(data) + 1, U)
-    sums[0] = 0
-    np.cumsum(table[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + U(0x632BE59BD9B4E019) * (end - start).astype(U))
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + GROUP_BYTES, "right")))
+        some = data[start[i] : end[j - 1]]
+        up, down = powers(len(some) + 1)
+        sums = np.empty(len(some) + 1, U)
+        sums[0] = 0
+        np.cumsum(table[some] * up[: len(some)], out=sums[1:])
+        a, b = start[i:j] - start[i], end[i:j] - start[i]
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + U(0x632BE59BD9B4E019) * (b - a).astype(U))
+        i = j
+    return out
 
 
 def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -110,7 +110,7 @@ def interleave(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] =
     styles are left out; a figure's caption goes to all media in it and is no text of its own.
     Results: null or empty html has no items; repeated rows are kept each; an empty table gives no rows. Columns may have any names.
     """
-    C.arrow_rows(pages.sparkSession, 256)
+    C.short_batches(pages.sparkSession)
     given = pages.select(F.struct(*[F.col(c) for c in keep]).alias("row"), C.whole(html).alias("html")).select("row", F.sha2(F.col("html").cast("binary"), 256).alias("page"), "html")
     kind = given.schema["row"].dataType.simpleString()
 
@@ -187,7 +187,7 @@ def padded(data: Column) -> Column:
 
 def store(payloads: DataFrame, where: str) -> None:
     """Write payloads (binary column payload) as digest, media, to the folder where. A partition writes equal payloads once."""
-    C.arrow_rows(payloads.sparkSession, 256)
+    C.short_batches(payloads.sparkSession)
 
     def run(batches):
         seen: set[bytes] = set()
@@ -221,7 +221,7 @@ def feature(samples: np.ndarray) -> str:
 
 def describe(spark: SparkSession, where: str) -> DataFrame:
     """What the stored media hold, read back from the folder where: one row for each digest."""
-    C.arrow_rows(spark, 256)
+    C.short_batches(spark)
 
     def run(batches):
         for b in batches:

@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     Features are computed on the executors; MAX_TRAIN rows of them go to the driver. Null labels, keys without a document and documents without a label are ignored.
     Without rows the machine scores 0.5.
     """
-    C.arrow_rows(docs.sparkSession, 256)
+    C.short_batches(docs.sparkSession)
     metadata = metadata or {}
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (F.lit(True) if learn_from is None else learn_from))
     known = known.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).groupBy("key").agg(F.max("y").alias("y"))
@@ -167,7 +167,7 @@ def score(docs: DataFrame, machine: Machine, *, text: str = "text", keep: tuple[
 
     Results: null texts score like empty ones; null metadata count as 0; repeated rows score alike; an empty table gives no rows; columns may have any names.
     """
-    C.arrow_rows(docs.sparkSession, 256)
+    C.short_batches(docs.sparkSession)
     metadata = metadata or {}
     names = [f"m_{k}" for k in metadata]
     given = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(text).alias("text"), *[c.cast("double").alias(f"m_{k}") for k, c in metadata.items()])

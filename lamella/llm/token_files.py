@@ -254,7 +254,7 @@ def write(docs: DataFrame, where: str, *, tokenizer: str, key: str = "doc_id", t
     ordered by their text's hash; an empty table leaves a folder without rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    C.arrow_rows(spark, 256)
+    C.short_batches(spark)
     given = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = given.repartitionByRange(n, "key", "h").sortWithinPartitions("key", "h").select("key", "text")
@@ -284,7 +284,7 @@ def read(spark: SparkSession, where: str, keys: list[int] | None = None, *, ids:
     keys: a short list of keys; shards that cannot have them are skipped. None: all keys of each shard, and the documents without one.
     """
     files = spark.read.schema(SHARD).parquet(where)
-    C.arrow_rows(spark, 8)
+    C.short_batches(spark)
     totals = sorted(files.groupBy("part").agg(F.sum("n_tokens")).collect())  # one row for each part, not for each shard
     upto = np.cumsum([0, *(n for _, n in totals)]).tolist()
     parts = F.broadcast(spark.createDataFrame([(p, upto[i]) for i, (p, _) in enumerate(totals)], "part int, ids_before long"))

@@ -8,6 +8,9 @@ from lamella.llm import jaccard_join, kernel
 from . import data
 
 
+FOUR = {"words": 4, "num": 85, "den": 100}
+
+
 def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
@@ -58,11 +61,11 @@ def test_link(spark):
     rows = [(r[0], r[1]) for r in data.rows()]
     rows += [(1000 + i, t) for i, t in enumerate(near())]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, word string, n int").repartition(5)
-    got = sorted((tuple(r) for r in jaccard_join.link(frame).collect()), key=str)
+    got = sorted((tuple(r) for r in jaccard_join.link(frame, **FOUR).collect()), key=str)
     assert got == brute(rows)
     assert len({r[2] for r in got}) < len(got) - 40
     assert jaccard_join.link(frame.limit(0)).count() == 0
-    stay = sorted(r["doc_id"] for r in jaccard_join.representatives(frame).collect() if r["doc_id"] is not None)
+    stay = sorted(r["doc_id"] for r in jaccard_join.representatives(frame, **FOUR).collect() if r["doc_id"] is not None)
     assert stay == sorted(r[0] for r in got if r[0] is not None and r[2] == r[0])
 
 
@@ -71,7 +74,34 @@ def test_a_link_behind_the_first_member(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(near(5))]
     monkeypatch.setattr(jaccard_join, "slack", lambda d: 0)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in jaccard_join.link(frame).collect()), key=str) == brute(rows)
+    assert sorted((tuple(r) for r in jaccard_join.link(frame, **FOUR).collect()), key=str) == brute(rows)
+
+
+def test_frequent_words_and_chunks(spark, monkeypatch):
+    """Buckets of their own for nearly every shared word, and hubs with many chunks, find the same components and all links."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 2)
+    texts = [*near(9), *near(9)[:7], "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in jaccard_join.link(frame, **FOUR).collect()), key=str) == brute(list(enumerate(texts)))
+    pairs, member = jaccard_join.links(frame, **FOUR)
+    rep = {r["id"]: r["rep"] for r in member.collect()}
+    sets = {i: shingles(t) for i, t in enumerate(texts) if shingles(t)}
+    assert rep == {i: min(j for j in sets if sets[j] == x) for i, x in sets.items()}
+    reps = sorted(set(rep.values()))
+    want = {(i, j) for i in reps for j in reps if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(want)
+
+
+def test_sharing(spark):
+    """Texts with too many shingles of their own leave the second pass; those that may link stay."""
+    texts = {i: t for i, t in enumerate(near(3)) if t}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    known = spark.createDataFrame([(i, len(x)) for i, x in sets.items()], "id long, n long")
+    shared = {i: sum(any(s in y for j, y in sets.items() if j != i) for s in x) for i, x in sets.items()}
+    got = sorted(r["id"] for r in jaccard_join.sharing(rows, known, 4, 85, 100).collect())
+    assert got == sorted(i for i, x in sets.items() if 100 * shared[i] >= 85 * len(x)) and len(got) < len(texts)
 
 
 def test_components(spark):
