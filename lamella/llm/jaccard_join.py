@@ -366,8 +366,8 @@ class Sketched:
 
 
 def mixed(members: DataFrame) -> DataFrame:
-    """The members (word, component, ...) of words whose members are in different components."""
-    words = members.groupBy("word").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("word")
+    """The members (word, component, ...) of words whose members are in different components; two members alone are a pair that was tried."""
+    words = members.groupBy("word").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y and n > 2").select("word")
     return members.join(words, "word", "left_semi")
 
 
