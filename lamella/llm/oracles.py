@@ -38,7 +38,7 @@ def op1() -> str:
     roles = " ".join(f"when {i} then '{secrets.ROLE[k]}'" for i, k in enumerate(secrets.KINDS))
     needs = " or ".join(
         f"kind = {secrets.KINDS.index(k)} and " + " and ".join(
-            f"exists (select 1 from p q where q.rid = p.rid and q.role = '{n}' and q.scope = p.scope and abs(q.s - p.s) <= {secrets.REACH})" for n in ns
+            f"exists (select 1 from p q where q.rid = p.rid and q.role = '{n}' and q.scope = p.scope and p.s - q.e <= {secrets.REACH} and q.s - p.e <= {secrets.REACH})" for n in ns
         )
         for k, ns in secrets.NEEDS.items()
     )
@@ -92,8 +92,8 @@ def op4() -> str:
  m as (select count(*) k, sum(n) n, sum(f) / sum(n) m, sum(f * f / n) - sum(n) * pow(sum(f) / sum(n), 2) spread, sum(n) - sum(n * n) / sum(n) size from h),
  v as (select *, (spread - (k - 1) * m * (1 - m)) / (size - (k - 1)) var from m),
  g as (select m, greatest(1.0, case when size > k - 1 and var > 0 then least({q.MAX_PRIOR}.0, m * (1 - m) / var) else {q.MAX_PRIOR}.0 end) strength from v),
- rate as (select source, (f + strength * m) / (n + strength) rate from h, g)
- select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (rate > {q.MAX_HOST_RATE} and soft) kept
+ rate as (select *, rate - {q.BOUND} * sqrt(rate * (1 - rate) / (total + 1)) > m bad from (select source, m, n + strength total, (f + strength * m) / (n + strength) rate from h, g))
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (bad and soft) kept, soft soft_failed, round(rate, 6) host_rate, bad bad_host
  from j join rate on rate.source is not distinct from j.source"""
 
 
@@ -144,7 +144,7 @@ def op10() -> str:
  left join (select source, min(hash) filter (upto > room) edge, max(upto) filter (upto <= room) used from c{k} group by source) c on c.source is not distinct from r.source group by r.source)""")
         ranges.append(f"select a.source, a.start low, b.start - 1 high, a.room largest from r{k} a join r{k + 1} b on a.source is not distinct from b.source where a.room > 0")
     return f"""with d as materialized (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) size,
- cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) hash from documents),
+ cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 15) as bigint) hash from documents),
  s as (select source, cast(sum(size) as bigint) n, list_extract([5, 2, 1], cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as integer)) w from d group by source),
  o as (select *, row_number() over (order by 2.0::double * n / w, source) i from s),
  k as (select *, 1.5::double * sum(n) over () - 2.0::double * coalesce(sum(n) over (order by i rows between unbounded preceding and 1 preceding), 0) rest,

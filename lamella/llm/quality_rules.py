@@ -1,8 +1,9 @@
 """Quality rules of documents with host-level verdicts, in Spark expressions only.
 
 Rule failures are summed by host; each host's failure rate is shrunk towards a
-beta prior fitted to all hosts by moments; the verdict of a host is joined back
-to its documents.
+beta prior fitted to all hosts by moments; a host whose posterior is clearly above
+the rate of all documents is bad, and that verdict is joined back to its
+documents.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from . import common as C
 SYMBOLS = "#*$%&|<>"
 #: A document fails a soft rule if more than this percentage of its word characters are symbols, or of its lines repeat an earlier line.
 MAX_SYMBOL_PCT, MAX_DUP_LINE_PCT = 10, 30
-#: A host is bad if its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: A host is bad if mean - BOUND * standard deviation of its posterior failure rate is above the rate of all documents (one-sided 95 %).
+BOUND = 1.645
 
 
 def repeat_words(w: Column) -> Column:
@@ -63,9 +64,9 @@ def statistics(text: Column) -> Column:
 
 
 def host_rates(failures: DataFrame) -> DataFrame:
-    """host, n_docs, n_failed, rate: the failure rate shrunk towards a beta prior fitted by moments to the rates of all hosts, weighted by documents.
+    """host, n_docs, n_failed, rate, bad: the failure rate shrunk towards a beta prior fitted by moments to the rates of all hosts, weighted by documents.
 
-    failures: host, failed (boolean). With one host, or no spread beyond chance, the prior is as strong as MAX_PRIOR documents.
+    failures: host, failed (boolean). With one host, or no spread beyond chance, the prior is as strong as MAX_PRIOR documents; a single host is not bad.
     """
     hosts = failures.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     totals = hosts.agg(F.count("*").alias("k"), F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.sum(F.col("n_docs") * F.col("n_docs")).alias("nn"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("ff"))
@@ -77,7 +78,10 @@ def host_rates(failures: DataFrame) -> DataFrame:
     strength = F.when((size > F.col("k") - 1) & (var > 0), F.least(F.lit(float(MAX_PRIOR)), mean * (1 - mean) / var)).otherwise(F.lit(float(MAX_PRIOR)))
     prior = totals.select(mean.alias("mean"), F.greatest(F.lit(1.0), F.coalesce(strength, F.lit(float(MAX_PRIOR)))).alias("strength"))
     # The prior is one row.
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("strength") * F.col("mean")) / (F.col("n_docs") + F.col("strength"))).alias("rate"))
+    total = F.col("n_docs") + F.col("strength")
+    rated = hosts.crossJoin(F.broadcast(prior)).withColumn("rate", (F.col("n_failed") + F.col("strength") * F.col("mean")) / total)
+    bound = F.col("rate") - BOUND * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (total + 1))
+    return rated.select("host", "n_docs", "n_failed", "rate", (bound > F.col("mean")).alias("bad"))
 
 
 MAX_PRIOR = 1000
@@ -95,8 +99,14 @@ def failures() -> dict[str, Column]:
     return {"base_failed": base, "soft_failed": soft}
 
 
+def rates_of(given: DataFrame) -> DataFrame:
+    """host, host_rate, bad_host of stored rows with host, base_failed, soft_failed."""
+    rates = host_rates(given.select("host", (F.col("base_failed") | F.col("soft_failed")).alias("failed")))
+    return C.checkpointed(rates.select("host", F.col("rate").alias("host_rate"), F.col("bad").alias("bad_host")))
+
+
 def judge(docs: DataFrame, *, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each row of docs: row (a struct of the columns keep), stats (see statistics()), base_failed, soft_failed, host_rate, kept.
+    """A row for each row of docs: row (a struct of the columns keep), stats (see statistics()), base_failed, soft_failed, host_rate, bad_host, kept.
 
     A document is kept unless base_failed, or its host is bad and it is soft_failed itself: a clean document of a bad host stays.
     Results: a null or empty text has zeros and is base_failed; null hosts form one host; repeated rows count each; an empty table gives no rows;
@@ -104,17 +114,16 @@ def judge(docs: DataFrame, *, text: str = "text", host: str = "source", keep: tu
     """
     given = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(host).alias("host"), C.once(stats=statistics(C.whole(text))))
     given = C.stored(given.withColumns(failures()), "quality")
-    rates = C.checkpointed(host_rates(given.select("host", (F.col("base_failed") | F.col("soft_failed")).alias("failed"))).select("host", F.col("rate").alias("host_rate")))
-    rates = C.small(rates, BROADCAST_HOSTS).alias("r")
-    kept = ~F.col("base_failed") & ~((F.col("host_rate") > MAX_HOST_RATE) & F.col("soft_failed"))
+    rates = C.small(rates_of(given), BROADCAST_HOSTS).alias("r")
+    kept = ~F.col("base_failed") & ~(F.col("bad_host") & F.col("soft_failed"))
     out = given.alias("g").join(rates, F.col("g.host").eqNullSafe(F.col("r.host")))
-    return out.select("row", "stats", "base_failed", "soft_failed", "host_rate", kept.alias("kept"))
+    return out.select("row", "stats", "base_failed", "soft_failed", "host_rate", "bad_host", kept.alias("kept"))
 
 
 def kept(docs: DataFrame, *, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of docs that judge() keeps, with all columns. The statistics are computed twice, once for the hosts, so that no text is shuffled or stored."""
+    """The rows of docs that judge() keeps, with all columns. The rows that are not base_failed are stored with their flags, so the statistics are computed once."""
     given = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host).alias("host"), C.once(stats=statistics(C.whole(text)))).withColumns(failures())
-    rates = C.checkpointed(host_rates(given.select("host", (F.col("base_failed") | F.col("soft_failed")).alias("failed"))).select("host", F.col("rate").alias("host_rate")))
-    rates = C.small(rates.where(F.col("host_rate") > MAX_HOST_RATE), BROADCAST_HOSTS).alias("r")
+    given = C.stored(given.select(F.when(~F.col("base_failed"), F.col("row")).alias("row"), "host", "base_failed", "soft_failed"), "quality")
+    bad = C.small(rates_of(given).where("bad_host"), BROADCAST_HOSTS).alias("r")
     good = given.where(~F.col("base_failed"))
-    return good.alias("g").join(rates, F.col("g.host").eqNullSafe(F.col("r.host")) & F.col("g.soft_failed"), "left_anti").select("row.*")
+    return good.alias("g").join(bad, F.col("g.host").eqNullSafe(F.col("r.host")) & F.col("g.soft_failed"), "left_anti").select("row.*")

@@ -14,7 +14,7 @@ def n_words() -> Column:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan(C.table(spark, sf_dir, "documents"), starts=True)  # as its SQL has it
+    out = secrets.scan(C.table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     digest = F.sha2(secrets.joined(F.col("base")).cast("binary"), 256)
     return out.select("row.doc_id", count("assign"), count("access"), count("hex"), digest.alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
@@ -45,13 +45,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(C.table(spark, sf_dir, "documents"))
-    return out.select("row.doc_id", *[f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
-
-
-def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", n_words().alias("n_words"))
-    out = packing.pack(C.stored(docs, "lengths"), F.col("n_words"))
-    return out.select("doc_id", "n_tokens", F.col("bucket").cast("long").alias("bucket"), "bucket_len", "batch", "slot")
+    stats = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select("row.doc_id", *stats, "base_failed", "kept", "soft_failed", F.round("host_rate", 6).alias("host_rate"), "bad_host")
 
 
 def tokenizer_path() -> str:
@@ -60,6 +55,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths are those of the token files, end ids included."""
+    docs = C.table(spark, sf_dir, "documents").withColumn("digest", F.md5(C.whole("text")))
+    sized = C.stored(token_files.lengths(docs, tokenizer=tokenizer_path(), keep=("doc_id", "digest")), "lengths")
+    out = packing.pack(sized, F.col("n_tokens"), ties=F.col("digest"))
+    return out.select("doc_id", "n_tokens", F.col("bucket").cast("long").alias("bucket"), "bucket_len", "batch", "slot")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = token_files.folder(spark)
     token_files.write(C.table(spark, sf_dir, "documents"), where, tokenizer=tokenizer_path())
@@ -106,8 +109,8 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("n_words"))
-    out = mixing.mix(C.stored(docs, "lengths"), F.col("n_words"))
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("n_words"), F.md5(C.whole("text")).alias("digest"))
+    out = mixing.mix(C.stored(docs, "lengths"), F.col("n_words"), ties=F.col("digest"))
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -7,6 +7,8 @@ complete them occur near them in the same scope, by an interval join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +24,20 @@ ASSIGN_MIN = 6
 WEAK = {
     "weak_id": r"(?<![A-Za-z0-9_])(?:[Uu]ser(?:name)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii]d|[Aa]ccess_?[Kk]ey(?:_?[Ii]d)?)\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}",
     "weak_secret": r"(?<![A-Za-z0-9_])(?:[Pp]wd|[Pp]ass|[Pp]assphrase|[Cc]redential|[Aa]uth|[Pp]rivate_?[Kk]ey)\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{4,}",
+    "email": r"(?<![A-Za-z0-9_])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,252}\.[A-Za-z]{2,24}",
     "endpoint": r"(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._@-]+(?::[0-9]{1,5})?|(?:[Hh]ost|[Ee]ndpoint|[Ss]erver)\x20*[:=]\x20*[\"']?[A-Za-z0-9._-]{3,})",
 }
 KINDS = ["assign", "access", "hex", *WEAK]
 #: The role of each kind in a credential.
-ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
+ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "email": "id", "endpoint": "endpoint"}
 #: The roles that must all occur near a weak part.
-NEEDS = {"weak_id": ["secret"], "weak_secret": ["id"], "endpoint": ["id", "secret"]}
-#: Parts complete each other if at most so many code points are between them (or between their starts) and no blank line is.
+NEEDS = {"weak_id": ["secret"], "weak_secret": ["id"], "email": ["secret"], "endpoint": ["id", "secret"]}
+#: Parts complete each other if at most so many code points are between them and no blank line is.
 REACH = 200
+#: A text without any of its strings has no match of a kind, so the pattern is not tried.
+HINTS = {"assign": ":=", "access": ["AKIA"], "weak_id": ":=", "weak_secret": ":=", "email": "@", "endpoint": ":="}
+#: Completed parts of at most so many spans in all are broadcast to the texts.
+BROADCAST_SPANS = 500_000
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -52,7 +59,11 @@ def found(text: Column, pattern: str, kind: str, keep=None) -> Column:
             some = F.filter(some, lambda _, i: keep(F.get(hits, i)))
         return F.when(F.size(hits) > 0, some).otherwise(F.array()).cast(SPANS)
 
-    return C.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    spans = C.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    if kind not in HINTS:
+        return spans
+    hinted = reduce(lambda x, y: x | y, (F.contains(text, F.lit(h)) for h in HINTS[kind]))
+    return F.when(hinted, spans).otherwise(F.array().cast(SPANS))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -69,39 +80,36 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def linked(parts: DataFrame, starts: bool = False) -> DataFrame:
-    """The weak parts that are complete. parts: doc, scope, kind (index), start, end. starts: parts are near by their starts, not by the gap between them.
+def linked(parts: DataFrame) -> DataFrame:
+    """The weak parts that are complete. parts: doc, scope, kind (index), start, end.
 
     An interval semi-join for each role that a kind needs: a part is in all bins of REACH code points that it covers, a weak part probes the
     bins of itself and of REACH code points around it, on document, scope and bin, and leaves one row at most. Matches of a kind do not
     overlap, so a text has at most a row for each REACH of its code points and kind, and a few for each part.
     """
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("kind") + 1)
-    parts = parts.withColumn("to", F.col("start" if starts else "end"))
     b = lambda at: F.floor(at / REACH)
-    at = parts.select("doc", "scope", role.alias("role"), "start", "to").distinct()
-    at = at.withColumn("bin", F.explode(F.sequence(b(F.col("start")), b(F.col("to")))))
+    at = parts.select("doc", "scope", role.alias("role"), "start", "end").distinct()
+    at = at.withColumn("bin", F.explode(F.sequence(b(F.col("start")), b(F.col("end")))))
     out = []
     for kind, needs in NEEDS.items():
         weak = parts.where(F.col("kind") == KINDS.index(kind)).distinct()
         for need in needs:
-            probes = weak.select("*", F.explode(F.sequence(b(F.col("start") - REACH), b(F.col("to") + REACH))).alias("bin")).alias("w")
+            probes = weak.select("*", F.explode(F.sequence(b(F.col("start") - REACH), b(F.col("end") + REACH))).alias("bin")).alias("w")
             other = at.where(F.col("role") == need).alias("o")
             same = [F.col(f"w.{c}") == F.col(f"o.{c}") for c in ("doc", "scope", "bin")]
-            near = (F.col("w.start") - F.col("o.to") <= REACH) & (F.col("o.start") - F.col("w.to") <= REACH)
+            near = (F.col("w.start") - F.col("o.end") <= REACH) & (F.col("o.start") - F.col("w.end") <= REACH)
             weak = probes.join(other, [*same, near], "left_semi").drop("bin").distinct()
-        out.append(weak.drop("to"))
-    first, *rest = out
-    for x in rest:
-        first = first.unionByName(x)
-    return first
+        out.append(weak)
+    return reduce(DataFrame.unionByName, out)
 
 
-def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), starts: bool = False) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each row of docs: row (a struct of the columns keep), then base and spans, each an array of struct(start, kind, end) sorted by start, then kind.
 
-    kind is the place in KINDS. base has the strong spans, spans those and the complete weak parts; starts is as in linked(). What is linked depends on the text alone,
-    so parts are joined by the text's MD5 and copies of a text are linked once.
+    kind is the place in KINDS. base has the strong spans, spans those and the complete weak parts. What is linked depends on the text alone,
+    so parts are joined by the text's MD5 and copies of a text are linked once. What they complete goes back to the rows by broadcast if it has few
+    spans; if not, the rows with weak parts, and only they, meet it in a shuffle.
     Results: a null or empty text has empty arrays; repeated rows are reported each; an empty table gives no rows. Columns of docs may have any
     names.
     """
@@ -114,13 +122,13 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     rows = C.stored(rows, "secrets")
     parts = rows.where(F.col("doc").isNotNull()).select("doc", "breaks", F.explode(F.concat("base", "weak")).alias("p"))
     scope = F.size(F.filter("breaks", lambda b: b["start"] < F.col("p.start")))
-    complete = linked(parts.select("doc", scope.alias("scope"), "p.kind", "p.start", "p.end"), starts)
-    complete = complete.groupBy("doc").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
-    # Rows without weak parts need no partner; their join key is spread out.
-    rows = rows.withColumn("doc", F.coalesce("doc", F.xxhash64("row").cast("string")))
-    out = rows.join(complete, "doc", "left")
-    spans = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPANS))))
-    return out.select("row", "base", spans.alias("spans"))
+    complete = linked(parts.select("doc", scope.alias("scope"), "p.kind", "p.start", "p.end"))
+    complete = C.stored(complete.groupBy("doc").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")), "complete")
+    spans = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPANS)))).alias("spans")
+    if (complete.agg(F.sum(F.size("more"))).first()[0] or 0) <= BROADCAST_SPANS:
+        return rows.join(F.broadcast(complete), "doc", "left").select("row", "base", spans)
+    with_weak = rows.where(F.col("doc").isNotNull()).join(complete, "doc", "left").select("row", "base", spans)
+    return with_weak.unionByName(rows.where(F.col("doc").isNull()).select("row", "base", F.col("base").alias("spans")))
 
 
 def merged(spans: Column) -> Column:

@@ -20,8 +20,8 @@ def shingles(text, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows]
+def brute(rows, k=4, num=85):
+    sets = [(i, shingles(t, k)) for i, t in rows]
     root = {i: i for i, _ in sets if i is not None}
 
     def find(i):
@@ -31,7 +31,7 @@ def brute(rows):
 
     for x, (i, a) in enumerate(sets):
         for j, b in sets[:x]:
-            if i is not None and j is not None and a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= num * len(a | b):
                 p, q = sorted((find(i), find(j)))
                 root[q] = p
     return sorted(((i, len(s), find(i) if i is not None else None) for i, s in sets), key=str)

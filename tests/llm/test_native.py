@@ -1,5 +1,6 @@
 """Secret scans, chat formatting and quality rules against plain Python."""
 
+import random
 import re
 from collections import Counter
 
@@ -28,7 +29,7 @@ def linked(text):
     out = base(text)
     for p in parts:
         needs = secrets.NEEDS.get(secrets.KINDS[p[1]])
-        if needs and all(any(role(q) == n and scope(q) == scope(p) and abs(q[0] - p[0]) <= secrets.REACH for q in parts) for n in needs):
+        if needs and all(any(role(q) == n and scope(q) == scope(p) and p[0] - q[2] <= secrets.REACH and q[0] - p[2] <= secrets.REACH for q in parts) for n in needs):
             out.append(p)
     return sorted(out)
 
@@ -44,7 +45,21 @@ def test_secret_scan(spark):
     assert secrets.scan(data.documents(spark, [])).count() == 0
 
 
-def test_redact(spark):
+def test_redact(spark, monkeypatch):
+    for spans in (secrets.BROADCAST_SPANS, 0):  # by broadcast and by shuffle
+        monkeypatch.setattr(secrets, "BROADCAST_SPANS", spans)
+        redact(spark)
+
+
+def test_an_address_beside_a_secret(spark):
+    token = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
+    texts = [f"{token} of a.b+c@mail.example.org, more", f"write to a@b.cd {'word ' * 50}{token}", f"a@b.cd\n\n{token}", "only a@b.cd", f"a@b.cd%x@y.zz, {token}"]
+    got = {r["row"]["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == [linked(t) for t in texts]
+    assert [sum(s[1] == secrets.KINDS.index("email") for s in got[i]) for i in range(5)] == [1, 0, 0, 0, 2]
+
+
+def redact(spark):
     docs = data.documents(spark)
     got = {(r["doc_id"], r["text"]) for r in secrets.redact(docs).collect()}
     want = set()
@@ -90,29 +105,65 @@ def stats(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
-def test_quality_rules(spark):
-    got = quality_rules.judge(data.documents(spark), keep=("doc_id", "text", "source")).collect()
-    assert len(got) == len(data.rows())
+def verdicts(rows):
+    """host: rate, bad of rows (host, failed): the moment fit once more, in plain Python."""
     failed, docs = Counter(), Counter()
-    for r in got:
-        s = r["stats"]
-        assert (s["n_words"], s["word_chars"], s["n_symbols"], s["n_dup_lines"], s["n_repeat_words"]) == stats(r["row"]["text"] or "")
-        assert r["base_failed"] == (s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"])
-        docs[r["row"]["source"]] += 1
-        failed[r["row"]["source"]] += r["base_failed"] or r["soft_failed"]
-    # The moment fit once more, in plain Python.
+    for h, f in rows:
+        docs[h] += 1
+        failed[h] += f
     n, f, k = sum(docs.values()), sum(failed.values()), len(docs)
     mean = f / n
     spread = sum(failed[h] ** 2 / docs[h] for h in docs) - n * mean**2
     size = n - sum(d * d for d in docs.values()) / n
-    var = (spread - (k - 1) * mean * (1 - mean)) / (size - (k - 1))
+    var = (spread - (k - 1) * mean * (1 - mean)) / (size - (k - 1)) if size > k - 1 else 0
     strength = max(1, min(1000, mean * (1 - mean) / var)) if var > 0 else 1000
-    for r in got:
-        h = r["row"]["source"]
+    out = {}
+    for h in docs:
         rate = (failed[h] + strength * mean) / (docs[h] + strength)
-        assert abs(r["host_rate"] - rate) < 1e-9
-        assert r["kept"] == (not r["base_failed"] and not (rate > 0.5 and r["soft_failed"]))
+        out[h] = rate, rate - 1.645 * (rate * (1 - rate) / (docs[h] + strength + 1)) ** 0.5 > mean
+    return out
+
+
+def soft(text):
+    _, chars, symbols, dup, _ = stats(text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return 100 * symbols > 10 * chars or 100 * dup > 30 * len(lines)
+
+
+def test_quality_rules(spark):
+    got = quality_rules.judge(data.documents(spark), keep=("doc_id", "text", "source")).collect()
+    assert len(got) == len(data.rows())
+    want = verdicts([(r["row"]["source"], r["base_failed"] or r["soft_failed"]) for r in got])
+    for r in got:
+        s = r["stats"]
+        assert (s["n_words"], s["word_chars"], s["n_symbols"], s["n_dup_lines"], s["n_repeat_words"]) == stats(r["row"]["text"] or "")
+        assert r["base_failed"] == (s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"])
+        assert r["soft_failed"] == soft(r["row"]["text"] or "")
+        rate, bad = want[r["row"]["source"]]
+        assert abs(r["host_rate"] - rate) < 1e-9 and r["bad_host"] == bad
+        assert r["kept"] == (not r["base_failed"] and not (bad and r["soft_failed"]))
     assert quality_rules.judge(data.documents(spark, [])).count() == 0
+    one = quality_rules.judge(data.documents(spark).withColumn("source", F.lit("x"))).collect()
+    assert not any(r["bad_host"] for r in one)
+
+
+def bad_host_rows():
+    """Hosts of which one has many documents that fail a soft rule; the documents are long and without repeats."""
+    r = random.Random(4)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    rows = [(i, prose(), "en", f"host{i % 4}", 5) for i in range(200)]
+    rows += [(1000 + i, prose() + " " + "#" * 200 if i % 2 else prose(), "en", "bad" if i else None, 5) for i in range(60)]
+    return rows + [(2000, prose() + " " + "#" * 200, "en", "host0", 5)]
+
+
+def test_a_bad_host_loses_what_fails_softly(spark):
+    docs = spark.createDataFrame(bad_host_rows(), "doc_id long, text string, lang string, source string, n_chars long")
+    got = quality_rules.judge(docs, keep=("doc_id", "source")).collect()
+    gone = {r["row"]["doc_id"] for r in got if not r["kept"]}
+    assert {r["row"]["source"] for r in got if r["bad_host"]} == {"bad"}
+    assert gone == {1000 + i for i in range(1, 60, 2)} and not any(r["base_failed"] for r in got)
+    stay = quality_rules.kept(docs)
+    assert stay.columns == docs.columns and {r["doc_id"] for r in stay.collect()} == {r[0] for r in bad_host_rows()} - gone
 
 
 def test_many_secrets_in_one_text(spark):
