@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from lamella.llm import common as C
-from lamella.llm import jaccard_join, mixing, packing, quality_rules, queries, secrets
+from lamella.llm import jaccard_join, mixing, packing, quality_rules, queries, secrets, token_files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +31,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.take(docs, queries.n_words())
+    return mixing.take(docs, queries.n_words(), ties=F.md5(C.whole("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their bucket, batch and slot."""
-    return packing.pack(docs, queries.n_words())
+    """The documents with their length in tokens, bucket, batch and slot."""
+    sized = C.stored(token_files.lengths(docs, tokenizer=queries.tokenizer_path()), "sized")
+    return packing.pack(sized, F.col("n_tokens"), ties=F.md5(C.whole("text")))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("mix", mix), ("pack", pack)]
