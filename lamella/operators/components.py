@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ranked, stored
-from ..volume import LabelVolume
+from ..volume import LabelVolume, from_runs
 from .aggregates import runs
 
 
@@ -159,6 +159,10 @@ def star_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFra
         last = now
 
 
+#: Columns of a cell in which runs of neighbouring slices meet.
+CELL = 256
+
+
 def connected_components(v: LabelVolume, connectivity: int = 26, binary_image: bool = False) -> tuple[LabelVolume, DataFrame]:
     """Components of equal labels other than 0, numbered from 1 in the order of their first voxel (z, y, x), and a table cc, label.
 
@@ -167,19 +171,25 @@ def connected_components(v: LabelVolume, connectivity: int = 26, binary_image: b
     if connectivity not in (6, 26):
         raise ValueError("connectivity is 6 or 26")
     reach = int(connectivity == 26)
-    given = v.with_label(F.when(F.col("label") != 0, F.lit(1)).otherwise(F.lit(0))) if binary_image else v
+    given = v.relabelled(lambda rows: rows.withColumn("label", F.when(F.col("label") != 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))) if binary_image else v
     sx, sy, _ = v.shape
-    r = slice_runs(given, reach).where("label <> 0")
+    found = stored(slice_runs(given, reach), "runs")
+    r = found.where("label <> 0")
     # A component of a slice is named by its first voxel; its runs are few beside its voxels.
     idx = (F.col("z") * sy + F.col("y")) * sx + F.col("x0")
     first = r.groupBy("z", "ccid").agg(F.min(idx).alias("id"))
     r = stored(r.join(first, ["z", "ccid"]).select("z", "y", "x0", "x1", "label", "id"), "runs")
-    # Runs of a slice against those of the slice before: same label, same row or the rows beside it, overlapping columns.
-    below = r.select((F.col("z") + 1).alias("z"), F.explode(F.array(*[F.col("y") + d for d in range(-reach, reach + 1)])).alias("y"), "label", F.col("x0").alias("p0"), F.col("x1").alias("p1"), F.col("id").alias("a"))
-    edges = r.join(below, ["z", "y", "label"]).where((F.col("x0") <= F.col("p1") + reach) & (F.col("p0") <= F.col("x1") + reach)).select("a", F.col("id").alias("b")).distinct()
+    # Runs of a slice against those of the slice before: same label, same row or the rows beside it, overlapping columns. They meet in the cells of
+    # CELL columns that they cover, so a row of many short runs is not paired with itself as a whole.
+    cells = lambda wider: F.explode(F.sequence(F.floor((F.col("x0") - wider) / CELL), F.floor((F.col("x1") + wider) / CELL))).alias("cell")
+    here = r.select("z", "y", "label", "x0", "x1", F.col("id").alias("b"), cells(0))
+    below = r.select((F.col("z") + 1).alias("z"), "y", "label", F.col("x0").alias("p0"), F.col("x1").alias("p1"), F.col("id").alias("a"), cells(reach))
+    below = below.withColumn("y", F.explode(F.array(*[F.col("y") + d for d in range(-reach, reach + 1)])))
+    edges = here.join(below, ["z", "y", "label", "cell"]).where((F.col("x0") <= F.col("p1") + reach) & (F.col("p0") <= F.col("x1") + reach)).select("a", "b").distinct()
     roots = star_components(edges)
     whole = r.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     ids = ranked(whole.groupBy("root").agg(F.first("label").alias("l")), "root", "cc").select("root", (F.col("cc") + 1).alias("cc"), "l")
-    found = voxels_of(whole.join(ids, "root"), "cc")
-    voxels = v.voxels.select("x", "y", "z").join(found, ["x", "y", "z"], "left").select("x", "y", "z", F.coalesce("cc", F.lit(0).cast("long")).alias("label"))
-    return v.with_voxels(voxels, width=8), ids.select("cc", F.col("l").alias("label"))
+    # Runs of components and those of label 0 are all there is: nothing goes back to the voxels.
+    numbered_ = whole.join(ids, "root").select("z", "y", "x0", "x1", F.col("cc").alias("label"))
+    rest = found.where("label = 0").select("z", "y", "x0", "x1", F.lit(0).cast("long").alias("label"))
+    return from_runs(numbered_.unionByName(rest), v.shape, 8, v.order), ids.select("cc", F.col("l").alias("label"))

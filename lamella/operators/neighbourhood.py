@@ -7,11 +7,12 @@ shuffle serves the windows along all axes, and its copies are a few per cent.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..volume import LabelVolume
-from .selection import require
+from ..volume import LabelError, LabelVolume
 
 TILE = 64
 
@@ -79,16 +80,26 @@ def mode_pooling(v: LabelVolume) -> LabelVolume:
     return v.with_voxels(tiles.select(F.col("x2").alias("x"), F.col("y2").alias("y"), "z", label.alias("label")), shape=((sx + 1) // 2, (sy + 1) // 2, sz))
 
 
-def point_cloud(v: LabelVolume, label: int | None = None, skip_background: bool = True) -> DataFrame:
-    """label, x, y, z: voxels with a neighbour in the same slice (8 of them) that is outside of the volume or has another label."""
+def point_cloud(v: LabelVolume, label: int | Sequence[int] | None = None, z_start: int = 0, z_end: int | None = None, skip_background: bool = True) -> DataFrame:
+    """label, x, y, z: voxels with a neighbour in the same slice (8 of them) that is outside of the volume or has another label.
+
+    Of the slices z_start <= z < z_end, and of one label or a list of labels, each of which must be there.
+    """
+    wanted = None if label is None else [label] if isinstance(label, int) else list(label)
+    if z_start or z_end is not None:
+        slab = v.voxels.where((F.col("z") >= z_start) & (F.col("z") < (v.shape[2] if z_end is None else z_end)))
+        v = v.with_voxels(slab)
     # A voxel whose row neighbours have its label is flat; it is inner if it and the voxels above and below it are flat, of one label.
     flat = (beside("label", "x", 1) == F.col("label")) & (beside("label", "x", -1) == F.col("label"))
     t = tiled(v, "xy").withColumn("flat", F.when(F.coalesce(flat, F.lit(False)), F.col("label")))
     inner = (F.col("flat") == F.col("label")) & (beside("flat", "y", 1) == F.col("label")) & (beside("flat", "y", -1) == F.col("label"))
     out = t.withColumn("inner", F.coalesce(inner, F.lit(False))).where("own and not inner")
-    if label is not None:
-        require(v, label)
-        out = out.where(F.col("label") == label)
+    if wanted is not None:
+        there = {r[0] for r in v.rows.where(F.col("label").isin(*wanted)).select("label").distinct().collect()} if wanted else set()  # of the caller's list
+        for x in wanted:
+            if x not in there:
+                raise LabelError(f"label {x} is not in the volume")
+        out = out.where(F.col("label").isin(*wanted))
     elif skip_background:
         out = out.where("label <> 0")
     return out.select("label", "x", "y", "z")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..volume import LabelVolume
 from .aggregates import z_columns
-from .components import slice_components
+from .components import slice_components, slice_runs, voxels_of
 
 
 def cover(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -37,15 +37,34 @@ def cover(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.iloc[np.array(sorted(chosen), dtype=int)][["label", "x", "y", "z0", "depth"]]
 
 
-def pins(v: LabelVolume) -> DataFrame:
+#: Slices of a slab. Pins end at its faces, so a label's cover is found slab by slab and no label is in one task as a whole.
+SLAB = 128
+
+
+def slab_columns(v: LabelVolume, slab: int) -> DataFrame:
+    """The columns of z_columns(), cut at the faces of slabs."""
+    last = F.col("z0") + F.col("depth")
+    s = z_columns(v).withColumn("slab", F.explode(F.sequence(F.floor(F.col("z0") / slab), F.floor(last / slab))))
+    low, high = F.greatest("z0", F.col("slab") * slab), F.least(last, (F.col("slab") + 1) * slab - 1)
+    return s.select("x", "y", low.alias("z0"), (high - low).alias("depth"), "label", "slab")
+
+
+def pins(v: LabelVolume, slab: int = SLAB) -> DataFrame:
     """label, x, y, z0, depth: for each label, columns that meet each of its components. Columns that meet the same components as another are dropped first."""
-    columns = z_columns(v)
-    at = columns.select("label", "x", "y", "z0", "depth", F.explode(F.sequence("z0", F.col("z0") + F.col("depth"))).alias("z"))
-    met = at.join(slice_components(v), ["x", "y", "z"]).groupBy("label", "x", "y", "z0", "depth").agg(F.sort_array(F.collect_list(F.struct("z", "ccid"))).alias("c"))
-    met = met.select("label", "x", "y", "z0", "depth", F.transform("c", lambda c: c["ccid"]).alias("cells"))
+    columns = slab_columns(v, slab)
+    at = columns.select("label", "slab", "x", "y", "z0", "depth", F.explode(F.sequence("z0", F.col("z0") + F.col("depth"))).alias("z"))
+    met = at.join(slice_components(v), ["x", "y", "z"]).groupBy("label", "slab", "x", "y", "z0", "depth").agg(F.sort_array(F.collect_list(F.struct("z", "ccid"))).alias("c"))
+    met = met.select("label", "slab", "x", "y", "z0", "depth", F.transform("c", lambda c: c["ccid"]).alias("cells"))
     # One column for each set of components: the first in raster order.
-    one = met.groupBy("label", "z0", "depth", "cells").agg(F.min(F.struct("y", "x")).alias("p")).select("label", "p.x", "p.y", "z0", "depth", "cells")
-    return one.groupBy("label").applyInPandas(cover, "label long, x long, y long, z0 long, depth long")
+    one = met.groupBy("label", "slab", "z0", "depth", "cells").agg(F.min(F.struct("y", "x")).alias("p")).select("label", "slab", "p.x", "p.y", "z0", "depth", "cells")
+    return one.groupBy("label", "slab").applyInPandas(cover, "label long, x long, y long, z0 long, depth long")
+
+
+def met_components(v: LabelVolume, p: DataFrame) -> DataFrame:
+    """z, ccid, label of each component that a pin of its label meets."""
+    at = p.select(F.col("label").alias("pin"), "x", "y", F.explode(F.sequence("z0", F.col("z0") + F.col("depth"))).alias("z"))
+    there = voxels_of(slice_runs(v), "ccid", "label")
+    return at.join(there, ["x", "y", "z"]).where("pin = label").select("z", "ccid", "label").distinct()
 
 
 def background(p: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def remap(v: LabelVolume, mapping: Mapping[int, int] | DataFrame, preserve_missi
     top = new.agg(F.max("new_label"), F.min("new_label")).first()
     if top[1] is not None and top[1] < 0:
         raise ValueError("labels are not negative")
-    voxels = v.voxels.join(small(new), "label", "left").withColumn("label", F.coalesce("new_label", "label"))
-    return v.with_voxels(voxels, width=max(v.width, width_for(top[0] or 0)))
+    new = small(new)
+    return v.relabelled(lambda rows: rows.join(new, "label", "left").withColumn("label", F.coalesce("new_label", "label")), width=max(v.width, width_for(top[0] or 0)))
 
 
 def mask(v: LabelVolume, wanted: Iterable[int], value: int = 0) -> LabelVolume:
@@ -58,8 +58,8 @@ def replace_if(v: LabelVolume, wanted: Iterable[int], value: int, listed: bool)
     asked = v.spark.createDataFrame([(int(x), True) for x in set(wanted)], "label long, listed boolean")
     there = F.coalesce("listed", F.lit(False))
     hit = there if listed else ~there
-    voxels = v.voxels.join(small(asked), "label", "left").withColumn("label", F.when(hit, F.lit(int(value))).otherwise(F.col("label")))
-    return v.with_voxels(voxels, width=max(v.width, width_for(value)))
+    asked = small(asked)
+    return v.relabelled(lambda rows: rows.join(asked, "label", "left").withColumn("label", F.when(hit, F.lit(int(value))).otherwise(F.col("label"))), width=max(v.width, width_for(value)))
 
 
 def renumbering(v: LabelVolume, start: int = 0) -> DataFrame:
@@ -70,13 +70,13 @@ def renumbering(v: LabelVolume, start: int = 0) -> DataFrame:
 def renumber(v: LabelVolume, start: int = 0) -> tuple[LabelVolume, DataFrame]:
     """Labels renumbered in ascending order from start, in the smallest type that holds them, and the mapping."""
     mapping = renumbering(v, start)
-    out = v.with_voxels(v.voxels.join(mapping, "label").withColumn("label", F.col("new_label")))
+    out = v.relabelled(lambda rows: rows.join(mapping, "label").withColumn("label", F.col("new_label")))
     return replace(out, width=width_for(start + max(0, mapping.count() - 1))), mapping
 
 
 def refit(v: LabelVolume) -> LabelVolume:
     """The same labels in the smallest type that holds them."""
-    return replace(v, width=width_for(v.voxels.agg(F.max("label")).first()[0] or 0))
+    return replace(v, width=width_for(v.rows.agg(F.max("label")).first()[0] or 0))
 
 
 def astype(v: LabelVolume, width: int, casting: str = "unsafe", signed: bool = False) -> LabelVolume:
@@ -90,7 +90,7 @@ def astype(v: LabelVolume, width: int, casting: str = "unsafe", signed: bool = F
     if casting not in ("no", "equiv", "safe", "same_kind", "unsafe"):
         raise ValueError(f"unknown casting {casting}")
     if width < v.width and width < 8:
-        v = v.with_label(F.col("label").bitwiseAND(F.lit((1 << (8 * width)) - 1)))
+        v = v.relabelled(lambda rows: rows.withColumn("label", F.col("label").bitwiseAND(F.lit((1 << (8 * width)) - 1))))
     return replace(v, width=width)
 
 
@@ -106,7 +106,7 @@ def operator(v: LabelVolume, function: Callable[[Column], Column]) -> LabelVolum
     """Any expression of the label, evaluated by the engine; a negative result is an error when it is met."""
     new = function(F.col("label")).cast("long")
     checked = F.when(new < 0, F.raise_error(F.lit("labels are not negative")).cast("long")).otherwise(new)
-    return v.with_label(checked, width=8)
+    return v.relabelled(lambda rows: rows.withColumn("label", checked), width=8)
 
 
 def add_scalar(v: LabelVolume, k: int) -> LabelVolume:
@@ -126,5 +126,5 @@ def floordiv_scalar(v: LabelVolume, k: int) -> LabelVolume:
 
 
 def truediv_scalar(v: LabelVolume, k: float) -> LabelVolume:
-    """Division, cut to an integer."""
+    """Division, cut to an integer; labels are exact as doubles below 2 ** 53."""
     return operator(v, lambda c: F.floor(c / F.lit(k)))

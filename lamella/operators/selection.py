@@ -8,42 +8,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ranked
-from ..volume import LabelError, LabelVolume
+from ..volume import LabelError, LabelVolume, from_runs
 
 
 def labels(v: LabelVolume) -> DataFrame:
     """label: each distinct label."""
-    return v.voxels.select("label").distinct()
+    return v.rows.select("label").distinct()
 
 
 def labels_for_z_range(v: LabelVolume, z0: int, z1: int) -> DataFrame:
     """Distinct labels in z0 <= z < z1."""
-    return v.voxels.where((F.col("z") >= z0) & (F.col("z") < z1)).select("label").distinct()
+    return v.rows.where((F.col("z") >= z0) & (F.col("z") < z1)).select("label").distinct()
 
 
 def num_labels(v: LabelVolume) -> DataFrame:
-    return v.voxels.agg(F.countDistinct("label").alias("num_labels"))
+    return v.rows.agg(F.countDistinct("label").alias("num_labels"))
 
 
 def contains(v: LabelVolume, wanted: Iterable[int]) -> DataFrame:
     """label, found for each of a list of labels."""
     asked = v.spark.createDataFrame([(int(x),) for x in wanted], "label long").distinct()
-    there = v.voxels.select("label").join(F.broadcast(asked), "label", "left_semi").distinct().withColumn("found", F.lit(True))  # asked is the caller's list
+    there = v.rows.select("label").join(F.broadcast(asked), "label", "left_semi").distinct().withColumn("found", F.lit(True))  # asked is the caller's list
     return asked.join(there, "label", "left").select("label", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def contains_range(v: LabelVolume, low: int, high: int) -> DataFrame:
     """Labels in low <= label < high."""
-    return v.voxels.where((F.col("label") >= low) & (F.col("label") < high)).select("label").distinct()
+    return v.rows.where((F.col("label") >= low) & (F.col("label") < high)).select("label").distinct()
 
 
 def min_max(v: LabelVolume) -> DataFrame:
-    return v.voxels.agg(F.min("label").alias("min_label"), F.max("label").alias("max_label"))
+    return v.rows.agg(F.min("label").alias("min_label"), F.max("label").alias("max_label"))
 
 
 def z_range_for_label(v: LabelVolume, label: int) -> DataFrame:
     """z0, z1 with z0 <= z < z1 wherever the label is; -1, -1 if it is nowhere."""
-    r = v.voxels.where(F.col("label") == label).agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
+    r = v.rows.where(F.col("label") == label).agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
     return r.select(F.coalesce("z0", F.lit(-1).cast("long")).alias("z0"), F.coalesce(F.col("z1") + 1, F.lit(-1).cast("long")).alias("z1"))
 
 
@@ -64,8 +64,9 @@ def binary_image(v: LabelVolume, label: int, crop: bool = False) -> DataFrame:
 def z_slab(v: LabelVolume, z0: int, z1: int) -> LabelVolume:
     """Slices z0 <= z < z1 with z from 0; the filter reaches the scan."""
     z0, z1 = max(0, z0), min(v.shape[2], z1)
-    voxels = v.voxels.where((F.col("z") >= z0) & (F.col("z") < z1)).withColumn("z", F.col("z") - z0)
-    return v.with_voxels(voxels, shape=(*v.shape[:2], max(0, z1 - z0)))
+    slab = v.rows.where((F.col("z") >= z0) & (F.col("z") < z1)).withColumn("z", F.col("z") - z0)
+    shape = (*v.shape[:2], max(0, z1 - z0))
+    return v.with_voxels(slab, shape=shape) if v.stored_runs is None else from_runs(slab, shape, v.width, v.order)
 
 
 def normalized(key, shape: tuple[int, int, int]) -> tuple[slice, ...]:
@@ -141,6 +142,6 @@ def each_multi(v: LabelVolume, batch: int = 255) -> DataFrame:
 
 
 def require(v: LabelVolume, label: int) -> None:
-    if v.voxels.where(F.col("label") == label).limit(1).count() == 0:
+    if v.rows.where(F.col("label") == label).limit(1).count() == 0:
         raise LabelError(f"label {label} is not in the volume")
 

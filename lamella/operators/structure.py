@@ -75,10 +75,3 @@ def structure_equal(a: LabelVolume, b: LabelVolume) -> bool:
         return False
     left, right = voxel_connectivity_graph(a, 4), voxel_connectivity_graph(b, 4).withColumnRenamed("vcg", "other")
     return left.join(right, ["x", "y", "z"], "full").where(~F.col("vcg").eqNullSafe(F.col("other"))).limit(1).count() == 0
-
-
-def recompress(v: LabelVolume, **options) -> bytes:
-    """A stream of the volume as it is now: boundaries that relabelling has made meaningless are gone, and pins or flat labels are chosen anew."""
-    from ..sources import stream
-
-    return stream.compress(v, **options)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from ..operators import pins as P
 from ..operators import relabel as R
 from ..operators import selection as S
 from ..operators import structure as U
-from ..sources import stream
+from ..session import stored
+from ..sources import remote, stream
 from ..volume import LabelVolume, full
 from .volumes import cte, volume
 
@@ -108,9 +110,9 @@ def assign_cutout(v):
     return S.assign(v, (slice(5, 25), slice(2, 12), slice(1, 4)), part.with_label(F.col("x") + 100)).voxels
 
 
-@query("v_blk", "select label segment, x - min(x) over w x, y - min(y) over w y, z - min(z) over w z from v where label in (11, 12, 13, 40) window w as (partition by label)")
+@query("v_blk", "select label segment, x - min(x) over w x, y - min(y) over w y, z - min(z) over w z from v window w as (partition by label)")
 def each(v):
-    return S.each(v, [11, 12, 13, 40, 99_999])
+    return S.each(v)
 
 
 @query("v_evt", "select (row_number() over (order by label) - 1) // 255 batch, (row_number() over (order by label) - 1) % 255 + 1 temp, label from (select distinct label from v)")
@@ -328,6 +330,19 @@ def pins(v):
     return P.pins(v)
 
 
+@query("v_blk", "select cast(z as bigint) z, ccid, any_value(label) label from c group by z, ccid", **reach(IN_SLICE))
+def pins_meet_all_components(v):
+    """The components that the pins meet, in slabs of four slices: all of them."""
+    return P.met_components(v, P.pins(v, slab=4))
+
+
+@query("v_blk", "select count(*) outside from v where false")
+def pins_stay_in_their_label(v):
+    """Voxels of pins that have another label: none."""
+    at = P.pins(v).select(F.col("label").alias("pin"), "x", "y", F.explode(F.sequence("z0", F.col("z0") + F.col("depth"))).alias("z"))
+    return at.join(v.voxels, ["x", "y", "z"], "left").where("label is null or pin <> label").agg(F.count("*").alias("outside"))
+
+
 @query("v_blk")
 def pin_background(v):
     return P.background(P.pins(v))
@@ -437,10 +452,37 @@ def equality(v: LabelVolume):
     return v.spark.createDataFrame([row], "equal_self boolean, equal_other boolean, same_structure boolean, equal_number boolean")
 
 
-@query("v_blk", COMPONENTS, **reach(IN_SLICE, "(select x, y, z, case when label in (11, 13) then 12 else label end label from v)"))
-def recompress(v):
-    """After labels are merged, boundaries inside of a label are gone: the components of each slice."""
-    return C.component_counts(R.remap(v, {11: 12, 13: 12}, preserve_missing_labels=True))
+# ---- runs as storage: the same questions, asked of runs
+
+
+def as_runs(v: LabelVolume) -> LabelVolume:
+    return A.as_runs(v)
+
+
+@query("v_blk", "select label, count(*) voxel_count, min(x) min_x, min(y) min_y, min(z) min_z, max(x) max_x, max(y) max_y, max(z) max_z from v group by label")
+def label_stats_of_runs(v):
+    return A.label_stats(as_runs(v))
+
+
+@query("v_evt", "select label, cast(sum(x) as double) / count(*) cx, cast(sum(y) as double) / count(*) cy, cast(sum(z) as double) / count(*) cz from v group by label")
+def centroids_of_runs(v):
+    return A.centroids(as_runs(v))
+
+
+@query("v_blk", RUNS.replace("from v)", "from (select x, y, z, case when label in (11, 13) then 12 else label end label from v))"))
+def remap_of_runs(v):
+    """Neighbours that become equal are joined."""
+    return A.runs(R.remap(as_runs(v), {11: 12, 13: 12}, preserve_missing_labels=True))
+
+
+@query("v_blk", "select cast(sum(case when label = pl then 1 else 0 end) as bigint) pairs from (select label, lag(label) over (order by z, y, x) pl from v)")
+def pixel_pairs_of_runs(v):
+    return A.pixel_pairs(as_runs(v))
+
+
+@query("v_blk", CC, **reach(IN_SPACE_26))
+def connected_components_of_runs(v):
+    return C.connected_components(as_runs(v), 26)[0].voxels
 
 
 # ---- the stream
@@ -473,18 +515,52 @@ def decompress_range_of_stream(v):
 
 @query("v_blk", "select * from v")
 def reencode(v):
-    return stream.decompress(v.spark, stream.reencode(stream.compress(v), 4)).voxels
+    return stream.decompress(v.spark, stream.reencode(v.spark, stream.compress(v), 4)).voxels
+
+
+@query("v_blk", COMPONENTS, **reach(IN_SLICE, "(select x, y, z, case when label in (11, 13) then 12 else label end label from v)"))
+def recompress(v):
+    """A stream whose labels were merged in its dictionary has boundaries inside of a label; recompressed to pins, it has the components of the merged labels."""
+    s = stream.Stream.parse(stream.compress(v))
+    h, d = s.header, s.dictionary().copy()
+    at = s.labels.index(d.tobytes())
+    d[(d == 11) | (d == 13)] = 12
+    merged = replace(s, labels=s.labels[:at] + d.tobytes() + s.labels[at + len(d.tobytes()) :]).to_bytes()
+    counts, _ = stream.Stream.parse(stream.recompress(v.spark, merged, pins=True)).per_slice()
+    assert h.label_format == stream.FLAT
+    return v.spark.createDataFrame(list(enumerate(counts.tolist())), "z long, components long")
+
+
+@query("v_ord", "select x, y, z, label from v")
+def block_table(v):
+    """A volume as a table of self-contained slices and back; no stream is put together."""
+    return stream.from_blocks(stored(stream.block_table(v, context_order=2), "blocks")).voxels
+
+
+@query("v_blk", "select x - 10 x, y, z - 2 z, label from v where x >= 10 and z >= 2 and z < 4")
+def remote_cutout(v):
+    """A cut-out of a stream read by byte ranges."""
+    return remote.rload(v.spark, stream.compress(v))[10:, :, 2:4].voxels
 
 
 @query("v_blk", "select distinct label from v")
 def labels_of_stream(v):
-    return v.spark.createDataFrame([(int(x),) for x in stream.Stream.parse(stream.compress(v)).unique()], "label long")
+    return v.spark.createDataFrame([(int(x),) for x in remote.rload(v.spark, stream.compress(v)).labels()], "label long")
 
 
-@query("v_blk", "select true header, true crack_index, true labels, cast(0 as bigint) bad_slices")
+@query("v_blk", "select * from (values ('sound', true, true, true, ''), ('a slice damaged', true, true, true, '1'), ('the labels damaged', true, true, false, '')) a(stream, header, crack_index, labels, bad_slices)")
 def check_report(v):
-    r = stream.check(stream.compress(v, context_order=1))
-    return v.spark.createDataFrame([(r["header"], r["crack_index"], r["labels"], len(r["bad_z"]))], "header boolean, crack_index boolean, labels boolean, bad_slices long")
+    """A sound stream and two damaged ones; slices are checked on the executors."""
+    raw = stream.compress(v, context_order=1)
+    s = stream.Stream.parse(raw)
+    labels = s.header.n_bytes + 4 * (s.header.sz + 1)
+    code = labels + len(s.labels) + len(s.model) + len(s.codes[0]) + len(s.codes[1]) // 2
+    rows = []
+    for name, at in (("sound", None), ("a slice damaged", code), ("the labels damaged", labels + 12)):
+        bad = raw if at is None else raw[:at] + bytes([raw[at] ^ 64]) + raw[at + 1 :]
+        r = stream.check(bad, v.spark)
+        rows.append((name, r["header"], r["crack_index"], r["labels"], ",".join(map(str, r["bad_z"]))))
+    return v.spark.createDataFrame(rows, "stream string, header boolean, crack_index boolean, labels boolean, bad_slices string")
 
 
 @query("v_blk", "select cast(z as bigint) z, max(ccid) + 1 components from c group by z", **reach(IN_SLICE))
@@ -501,11 +577,4 @@ def stream_sections(v):
 @query("v_ord")
 def context_histogram(v):
     """context, code, n: how often each difference of codes follows the last two."""
-    s = stream.Stream.parse(stream.compress(v))
-    found = []
-    for c in s.codes:
-        nodes, at = stream.K.read_index(c, v.shape[:2])
-        codes = stream.K.unpack(c[at:])
-        found.append(stream.K.differences(codes[: stream.used(nodes, codes.tolist())]))
-    counts = stream.M.histogram(found, 2)
-    return v.spark.createDataFrame([(i, j, int(n)) for i, row in enumerate(counts) for j, n in enumerate(row)], "context long, code long, n long")
+    return stream.context_counts(stream.planned(v, 0)[1], 2)

@@ -22,11 +22,16 @@ def contexts(d: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def keys(d: np.ndarray, order: int) -> np.ndarray:
+    """4 * context + difference, for each difference."""
+    return contexts(d, order) * 4 + d
+
+
 def histogram(slices: list[np.ndarray], order: int) -> np.ndarray:
     """4 ** order x 4: how often each difference follows each context."""
     out = np.zeros(4 ** (order + 1), np.int64)
     for d in slices:
-        out += np.bincount(contexts(d, order) * 4 + d, minlength=len(out))
+        out += np.bincount(keys(d, order), minlength=len(out))
     return out.reshape(-1, 4)
 
 

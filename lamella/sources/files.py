@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import label_stats
-from ..volume import FormatError, LabelVolume
+from ..operators.aggregates import label_stats, runs
+from ..session import stored
+from ..volume import FormatError, LabelVolume, from_runs
 from . import stream as S
 
 STREAM, ARRAY = ".ckl", ".npy"
@@ -109,20 +110,28 @@ def load_any(spark: SparkSession, path: str | os.PathLike) -> LabelVolume:
     return LabelVolume.from_numpy(spark, other_formats(kind)[0](str(path)))
 
 
-def save_numpy(v: LabelVolume, target, block_voxels: int = 25_000_000) -> None:
-    """A .npy file in Fortran order, written in blocks of slices: no more than one block is on the driver."""
-    sx, sy, sz = v.shape
+def slice_bytes(v: LabelVolume) -> DataFrame:
+    """z, raw: the labels of each slice in Fortran order."""
+    sx, sy, _ = v.shape
+    dtype = v.dtype
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((sx, sy), dtype, order="F")
+        a[pdf.x, pdf.y] = pdf.label.to_numpy().astype(dtype)
+        return pd.DataFrame([{"z": pdf.z.iloc[0], "raw": a.tobytes(order="F")}])
+
+    return v.voxels.groupBy("z").applyInPandas(one, "z long, raw binary")
+
+
+def save_numpy(v: LabelVolume, target) -> None:
+    """A .npy file in Fortran order. Slices are laid out on the executors, in one job, and come to the driver one after another."""
     head = io.BytesIO()
     np.lib.format.write_array_header_1_0(head, {"descr": np.lib.format.dtype_to_descr(v.dtype), "fortran_order": True, "shape": v.shape})
     f = target if hasattr(target, "write") else open_file(target, "wb")
     try:
         f.write(head.getvalue())
-        step = max(1, block_voxels // max(1, sx * sy))
-        for z in range(0, sz, step):
-            rows = v.voxels.where((F.col("z") >= z) & (F.col("z") < z + step)).toPandas()
-            block = np.zeros((sx, sy, min(step, sz - z)), v.dtype, order="F")
-            block[rows.x, rows.y, rows.z - z] = rows.label.to_numpy().astype(v.dtype)
-            f.write(block.tobytes(order="F"))
+        for r in stored(slice_bytes(v), "slices").orderBy("z").toLocalIterator() if v.size else ():
+            f.write(r["raw"])
     finally:
         if f is not target:
             f.close()
@@ -150,28 +159,65 @@ VOXELS = "path string, x long, y long, z long, label long"
 
 
 def read_streams(spark: SparkSession, path: str) -> DataFrame:
-    """path, x, y, z, label of all streams under a path of any file system: each is taken apart by one task, and its slices are decoded by many."""
+    """path, x, y, z, label of all streams under a path of any file system: each is taken apart by one task, and its slices are decoded by many. All checksums are verified."""
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, raw in zip(b.path, b.content, strict=True):
                 s = S.Stream.parse(bytes(raw))
+                if s.labels_crc is not None and S.crc32c(s.labels) != s.labels_crc:
+                    raise FormatError(f"the labels of {name} are damaged")
                 header = s.header.to_bytes()
                 for z, labels in enumerate(s.slice_labels(0, s.header.sz) if s.header.sx * s.header.sy else []):
-                    yield pd.DataFrame([{"path": name, "z": z, "head": header, "model": s.model, "code": s.codes[z], "labels": labels}])
+                    yield pd.DataFrame([{"path": name, "z": z, "head": header, "model": s.model, "code": s.codes[z], "labels": labels, "crc": None if s.slice_crcs is None else int(s.slice_crcs[z])}])
 
-    def voxels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return S.decoded(files.mapInPandas(parts, f"path string, {S.BLOCK}").repartition("path", "z"), "path")
+
+
+def check_streams(spark: SparkSession, path: str) -> DataFrame:
+    """path, section, z, sound of all streams under a path: a row for header, crack_index and labels each, as far as they can be told, and one for each slice."""
+
+    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples():
-                h = S.Header.parse(bytes(r.head), verify=False)
-                ranks = S.M.read_model(bytes(r.model), h.context_order) if h.context_order else None
-                a = S.decode_slice(bytes(r.code), bytes(r.labels), h, ranks)
-                x, y = np.indices(a.shape).reshape(2, -1)
-                yield pd.DataFrame({"path": r.path, "x": x, "y": y, "z": r.z, "label": a.reshape(-1).astype(np.int64)})
+            for name, raw in zip(b.path, b.content, strict=True):
+                found = S.check(bytes(raw))
+                rows = [(name, k, None, found[k]) for k in ("header", "crack_index", "labels") if found[k] is not None]
+                if found["labels"] is not None:
+                    h = S.Header.parse(bytes(raw))
+                    rows += [(name, "slice", z, z not in found["bad_z"]) for z in range(h.sz)]
+                yield pd.DataFrame(rows, columns=["path", "section", "z", "sound"]).astype({"z": "Int64"})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    slices = files.mapInPandas(parts, "path string, z long, head binary, model binary, code binary, labels binary").repartition("path", "z")
-    return slices.mapInPandas(voxels, VOXELS)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(report, "path string, section string, z long, sound boolean")
+
+
+def write_blocks(v: LabelVolume, path: str, **options) -> None:
+    """A volume of any size as a table of blocks: slices coded as in a stream, one row for each, sorted by z so that a reader of some slices skips the others."""
+    S.block_table(v, **options).repartitionByRange("z").sortWithinPartitions("z").write.option("compression", "none").parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str, z_start: int = 0, z_end: int | None = None) -> LabelVolume:
+    """The slices z_start <= z < z_end of a table of blocks; no other rows are decoded."""
+    blocks = spark.read.schema(S.BLOCK).parquet(path)
+    whole = S.from_blocks(blocks)
+    z_end = whole.shape[2] if z_end is None else min(z_end, whole.shape[2])
+    if (z_start, z_end) == (0, whole.shape[2]):
+        return whole
+    some = blocks.where((F.col("z") >= z_start) & (F.col("z") < z_end)).withColumn("z", F.col("z") - z_start)
+    return whole.with_voxels(S.decoded(some), shape=(*whole.shape[:2], max(0, z_end - z_start)))
+
+
+def write_runs(v: LabelVolume, path: str) -> None:
+    """Runs as Parquet, sorted by z and y: the smallest form of a volume that operators read as it is."""
+    runs(v).repartitionByRange("z").sortWithinPartitions("z", "y", "x0").write.option("compression", "zstd").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, shape: tuple[int, int, int] | None = None, width: int = 8) -> LabelVolume:
+    """A volume of a table of runs. Without a shape, it is the largest coordinates plus one."""
+    df = spark.read.schema("z long, y long, x0 long, x1 long, label long").parquet(path)
+    if shape is None:
+        shape = tuple((n if n is not None else -1) + 1 for n in df.agg(F.max("x1"), F.max("y"), F.max("z")).first())
+    return from_runs(df, shape, width)
 
 
 def write_table(v: LabelVolume, path: str) -> None:

@@ -1,12 +1,15 @@
 """The compressed stream of a volume: header, sizes of slices, labels, boundaries, checksums.
 
-Slices are coded and decoded on the executors; a stream itself is one byte
-string and is put together and taken apart by its caller.
+Slices are traced, coded, decoded and checked on the executors. A stream itself is
+one byte string and is put together and taken apart by its caller; a table of
+blocks, one self-contained row for each slice, has the same content and no such
+limit.
 """
 
 from __future__ import annotations
 
 import struct
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crc import crc8, crc32c
 from ..operators import pins as P
+from ..session import stored
 from ..volume import VOXEL, FormatError, LabelVolume
 from . import contexts as M
 from . import cracks as K
@@ -212,13 +216,16 @@ def symbols_of(labels: np.ndarray, boundaries: bool) -> tuple[list[int], np.ndar
     return [n for n, _ in chains], np.array([c for _, s in chains for c in K.to_codes(s)], np.int64)
 
 
-def slice_regions(code: bytes, shape: tuple[int, int], boundaries: bool, ranks: np.ndarray | None, order: int) -> np.ndarray:
+def read_code(code: bytes, shape: tuple[int, int], ranks: np.ndarray | None, order: int) -> tuple[list[int], list[int]]:
+    """Start nodes and codes of the bytes of a slice; codes may go on behind the last chain."""
     if not code:
-        nodes, codes = [], []
-    else:
-        nodes, at = K.read_index(code, shape)
-        codes = M.decode(code[at:], ranks, order) if order else K.unpack(code[at:]).tolist()
-    return K.regions(*K.draw(nodes, codes, shape), shape, equal=not boundaries)
+        return [], []
+    nodes, at = K.read_index(code, shape)
+    return nodes, M.decode(code[at:], ranks, order) if order else K.unpack(code[at:]).tolist()
+
+
+def slice_regions(code: bytes, shape: tuple[int, int], boundaries: bool, ranks: np.ndarray | None, order: int) -> np.ndarray:
+    return K.regions(*K.draw(*read_code(code, shape, ranks, order), shape), shape, equal=not boundaries)
 
 
 def region_crc(regions: np.ndarray) -> int:
@@ -250,10 +257,10 @@ def linear(v: LabelVolume) -> int:
     return pixel_pairs(v).first()[0]
 
 
-BLOCK = "z long, nodes array<long>, codes binary, labels array<long>, crc long"
+WALK = "z long, nodes array<long>, codes binary, labels array<long>, crc long"
 
 
-def blocks(v: LabelVolume, boundaries: bool) -> DataFrame:
+def walks(v: LabelVolume, boundaries: bool) -> DataFrame:
     """For each slice: start nodes and codes of its walks, labels of its components, and the checksum of its component ids."""
     sx, sy, _ = v.shape
 
@@ -265,7 +272,56 @@ def blocks(v: LabelVolume, boundaries: bool) -> DataFrame:
         first = np.unique(np.ascontiguousarray(r.T).reshape(-1), return_index=True)[1]
         return pd.DataFrame([{"z": pdf.z.iloc[0], "nodes": nodes, "codes": codes.astype(np.uint8).tobytes(), "labels": a.T.reshape(-1)[first], "crc": region_crc(r)}])
 
-    return v.voxels.groupBy("z").applyInPandas(one, BLOCK)
+    return v.voxels.groupBy("z").applyInPandas(one, WALK)
+
+
+def context_counts(w: DataFrame, order: int) -> DataFrame:
+    """context, code, n of a table of walks: how often each difference of codes follows the last few. Counted by slice, then summed."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for raw in b.codes:
+                met, n = np.unique(M.keys(K.differences(np.frombuffer(raw, np.uint8).astype(np.int64)), order), return_counts=True)
+                yield pd.DataFrame({"context": met // 4, "code": met % 4, "n": n})
+
+    return w.select("codes").mapInPandas(count, "context long, code long, n long").groupBy("context", "code").agg(F.sum("n").alias("n"))
+
+
+def model_of(w: DataFrame, order: int) -> np.ndarray | None:
+    """The ranks of a context model for a table of walks: at most 4 ** (order + 1) counts come to the driver."""
+    if not order:
+        return None
+    counts = np.zeros((4**order, 4), np.int64)
+    for r in context_counts(w, order).collect():
+        counts[r["context"], r["code"]] = r["n"]
+    return M.ranking(counts)
+
+
+def coded_slices(w: DataFrame, h: Header, ranks: np.ndarray | None) -> DataFrame:
+    """z, code, labels, crc of a table of walks: the bytes of each slice, and what it had besides."""
+    keep = [c for c in ("labels", "crc") if c in w.columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for nodes, raw in zip(b.nodes, b.codes, strict=True):
+                c = np.frombuffer(raw, np.uint8).astype(np.int64)
+                body = K.pack(c) if ranks is None else M.encode(K.differences(c), ranks, h.context_order)
+                out.append(K.write_index(np.asarray(nodes).tolist(), (h.sx, h.sy)) + body)
+            yield b[["z", *keep]].assign(code=out)[["z", "code", *keep]]
+
+    return w.mapInPandas(run, "z long, code binary" + ", labels array<long>" * ("labels" in keep) + ", crc long" * ("crc" in keep))
+
+
+def planned(v: LabelVolume, context_order: int) -> tuple[Header, DataFrame, np.ndarray | None]:
+    """The header (of flat labels), the stored walks and the context model of a volume that is not empty."""
+    if context_order and not 0 < context_order < 16:
+        raise ValueError("the order of the context model is 0 to 15")
+    boundaries = linear(v) >= v.size // 2
+    w = stored(walks(v, boundaries), "walks")
+    largest, drawn = w.agg(F.max(F.array_max("labels")), F.max(F.size("nodes"))).first()
+    h = Header(*v.shape, v.width, K.width_of(int(largest)), boundaries, FLAT, v.order == "F", context_order=context_order if drawn else 0)
+    return h, w, model_of(w, h.context_order)
 
 
 def compress(v: LabelVolume, *, pins: bool = False, context_order: int = 0, background: int | None = None) -> bytes:
@@ -275,36 +331,70 @@ def compress(v: LabelVolume, *, pins: bool = False, context_order: int = 0, back
     are several slices and most neighbours are equal.
     """
     sx, sy, sz = v.shape
-    if context_order and not 0 < context_order < 16:
-        raise ValueError("the order of the context model is 0 to 15")
     if not v.size:
         h = Header(sx, sy, sz, v.width, 1, fortran_order=v.order == "F")
         return Stream(h, None, None, struct.pack("<Q", 0) + bytes(K.width_of(sx * sy) * sz), b"", [K.write_index([], (sx, sy))] * sz, None, np.array([crc32c(b"")] * sz, np.uint32)).to_bytes()
-    boundaries = linear(v) >= v.size // 2
-    rows = sorted(blocks(v, boundaries).collect(), key=lambda r: r["z"])
+    h, w, ranks = planned(v, context_order)
+    rows = sorted(coded_slices(w, h, ranks).collect(), key=lambda r: r["z"])
     counts = [len(r["labels"]) for r in rows]
-    largest = max(max(r["labels"]) for r in rows)
-    stored = K.width_of(int(largest))
-    pins = pins and sz > 1 and boundaries
-    h = Header(sx, sy, sz, v.width, stored, boundaries, PINS if pins else FLAT, v.order == "F", context_order=context_order if any(r["nodes"] for r in rows) else 0)
-    if pins:
+    if pins and sz > 1 and h.boundaries:
+        h = replace(h, label_format=PINS)
         labels = pin_section(v, h, counts, background)
     else:
         d = np.unique(np.concatenate([r["labels"] for r in rows]))
         keys = np.searchsorted(d, np.concatenate([r["labels"] for r in rows]))
-        labels = struct.pack("<Q", len(d)) + d.astype(f"<u{stored}").tobytes() + np.array(counts, f"<u{K.width_of(sx * sy)}").tobytes() + keys.astype(f"<u{K.width_of(len(d))}").tobytes()
-    codes = [np.frombuffer(r["codes"], np.uint8).astype(np.int64) for r in rows]
-    model, coded = code_slices([r["nodes"] for r in rows], codes, h)
-    return Stream(h, None, None, labels, model, coded, None, np.array([r["crc"] for r in rows], np.uint32)).to_bytes()
+        labels = struct.pack("<Q", len(d)) + d.astype(f"<u{h.stored_width}").tobytes() + np.array(counts, f"<u{K.width_of(sx * sy)}").tobytes() + keys.astype(f"<u{K.width_of(len(d))}").tobytes()
+    model = b"" if ranks is None else M.write_model(ranks)
+    return Stream(h, None, None, labels, model, [bytes(r["code"]) for r in rows], None, np.array([r["crc"] for r in rows], np.uint32)).to_bytes()
+
+
+BLOCK = "z long, head binary, model binary, code binary, labels binary, crc long"
+
+
+def block_table(v: LabelVolume, *, context_order: int = 0) -> DataFrame:
+    """z, head, model, code, labels, crc: a row for each slice with all that it takes to decode it, as the stream would hold it.
+
+    Nothing but the context model meets on the driver, so a volume may be larger than any machine. Results: a volume without voxels has no rows.
+    """
+    if not v.size:
+        return v.spark.createDataFrame([], BLOCK)
+    h, w, ranks = planned(v, context_order)
+    head, model = bytearray(h.to_bytes()), bytearray(b"" if ranks is None else M.write_model(ranks))
+    coded = coded_slices(w, h, ranks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            labels = [np.asarray(x, "<u8").tobytes() for x in b.labels]
+            yield pd.DataFrame({"z": b.z, "head": [bytes(head)] * len(b), "model": [bytes(model)] * len(b), "code": b.code, "labels": labels, "crc": b.crc})
 
+    return coded.mapInPandas(run, BLOCK)
 
-def code_slices(nodes: list[list[int]], codes: list[np.ndarray], h: Header) -> tuple[bytes, list[bytes]]:
-    """The context model and the bytes of each slice."""
-    if not h.context_order:
-        return b"", [K.write_index(n, (h.sx, h.sy)) + K.pack(c) for n, c in zip(nodes, codes, strict=True)]
-    ds = [K.differences(c) for c in codes]
-    ranks = M.ranking(M.histogram(ds, h.context_order))
-    return M.write_model(ranks), [K.write_index(n, (h.sx, h.sy)) + M.encode(d, ranks, h.context_order) for n, d in zip(nodes, ds, strict=True)]
+
+def decoded(blocks: DataFrame, *keep: str) -> DataFrame:
+    """The columns keep, then x, y, z, label of a table of blocks; each slice is checked against its checksum, if it has one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                h = Header.parse(bytes(r.head), verify=False)
+                ranks = M.read_model(bytes(r.model), h.context_order) if h.context_order else None
+                a = decode_slice(bytes(r.code), bytes(r.labels), h, ranks, None if pd.isna(r.crc) else int(r.crc))
+                if a.size and a.max() >= 2**63:
+                    raise FormatError("a label is 2 ** 63 or more")
+                x, y = np.indices(a.shape).reshape(2, -1)
+                yield pd.DataFrame({**{k: getattr(r, k) for k in keep}, "x": x, "y": y, "z": r.z, "label": a.reshape(-1).astype(np.int64)})
+
+    named = ", ".join(f"{c} {t}" for c, t in blocks.dtypes if c in keep)
+    return blocks.mapInPandas(run, f"{named}{', ' * bool(named)}x long, y long, z long, label long")
+
+
+def from_blocks(blocks: DataFrame) -> LabelVolume:
+    """The volume of a table of blocks. The shape is that of the first header, whose rows must all be there."""
+    first = blocks.select("head").first()
+    if first is None:
+        raise FormatError("no blocks")
+    h = Header.parse(bytes(first["head"]))
+    return LabelVolume(decoded(blocks).select(*VOXEL.fieldNames()), (h.sx, h.sy, h.sz), h.data_width, "F" if h.fortran_order else "C")
 
 
 def pin_section(v: LabelVolume, h: Header, counts: list[int], background: int | None) -> bytes:
@@ -355,36 +445,57 @@ def decompress(spark: SparkSession, raw: bytes, z_start: int = 0, z_end: int | N
         raise FormatError("the labels are damaged")
     if not h.sx * h.sy * depth:
         return LabelVolume(spark.createDataFrame([], VOXEL), shape, h.data_width, order)
-    crcs = [None if s.slice_crcs is None else int(c) for c in (s.slice_crcs if s.slice_crcs is not None else range(h.sz))]
-    rows = [(z - z_start, bytearray(s.codes[z]), bytearray(x), crcs[z]) for z, x in zip(range(z_start, z_end), s.slice_labels(z_start, z_end), strict=True)]
-    ranks = s.ranks()
+    return LabelVolume(decoded(stream_blocks(spark, s, z_start, z_end)).select(*VOXEL.fieldNames()), shape, h.data_width, order)
+
+
+def spread(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of slices that the driver has, dealt out to the executors."""
+    return spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
+
+
+def stream_blocks(spark: SparkSession, s: Stream, z_start: int, z_end: int) -> DataFrame:
+    """The slices z_start <= z < z_end of a stream as a table of blocks, z from 0."""
+    head, model = bytearray(s.header.to_bytes()), bytearray(s.model)
+    crcs = [None] * s.header.sz if s.slice_crcs is None else s.slice_crcs.tolist()
+    rows = [(z - z_start, head, model, bytearray(s.codes[z]), bytearray(x), crcs[z]) for z, x in zip(range(z_start, z_end), s.slice_labels(z_start, z_end), strict=True)]
+    return spread(spark, rows, BLOCK)
+
+
+def read_walks(spark: SparkSession, s: Stream) -> DataFrame:
+    """z, nodes, codes of a stream, decoded on the executors."""
+    h, ranks = s.header, s.ranks()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for z, code, labels, crc in zip(b.z, b.code, b.labels, b.crc, strict=True):
-                a = decode_slice(bytes(code), bytes(labels), h, ranks, None if pd.isna(crc) else int(crc))
-                if a.size and a.max() >= 2**63:
-                    raise FormatError("a label is 2 ** 63 or more")
-                x, y = np.indices(a.shape).reshape(2, -1)
-                yield pd.DataFrame({"x": x, "y": y, "z": z, "label": a.reshape(-1).astype(np.int64)})
+            found = [read_code(bytes(c), (h.sx, h.sy), ranks, h.context_order) for c in b.code]
+            yield pd.DataFrame({"z": b.z, "nodes": [n for n, _ in found], "codes": [np.array(c[: used(n, c)], np.uint8).tobytes() for n, c in found]})
 
-    frame = spark.createDataFrame(rows, "z long, code binary, labels binary, crc long").repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism))
-    return LabelVolume(frame.mapInPandas(run, VOXEL), shape, h.data_width, order)
+    return spread(spark, [(z, bytearray(c)) for z, c in enumerate(s.codes)], "z long, code binary").mapInPandas(run, "z long, nodes array<long>, codes binary")
 
 
-def reencode(raw: bytes, context_order: int) -> bytes:
-    """The same stream with another order of the context model; labels are untouched."""
+def reencode(spark: SparkSession, raw: bytes, context_order: int) -> bytes:
+    """The same stream with another order of the context model; labels are untouched. Slices are decoded and coded on the executors."""
     s = Stream.parse(raw)
-    h, ranks = s.header, s.ranks()
-    nodes, codes = [], []
-    for c in s.codes:
-        n, at = K.read_index(c, (h.sx, h.sy)) if c else ([], 0)
-        found = M.decode(c[at:], ranks, h.context_order) if h.context_order else K.unpack(c[at:]).tolist()
-        nodes.append(n)
-        codes.append(np.array(found[: used(n, found)], np.int64))
-    h = replace(h, context_order=context_order if any(nodes) else 0)
-    model, coded = code_slices(nodes, codes, h)
-    return replace(s, header=h, model=model, codes=coded, slice_crcs=s.slice_crcs).to_bytes()
+    if not s.header.sx * s.header.sy * s.header.sz:
+        return raw
+    w = stored(read_walks(spark, s), "walks")
+    drawn = w.agg(F.max(F.size("nodes"))).first()[0]
+    h = replace(s.header, context_order=context_order if drawn else 0)
+    ranks = model_of(w, h.context_order)
+    codes = [bytes(r["code"]) for r in sorted(coded_slices(w, h, ranks).collect(), key=lambda r: r["z"])]
+    return replace(s, header=h, model=b"" if ranks is None else M.write_model(ranks), codes=codes).to_bytes()
+
+
+def recompress(spark: SparkSession, raw: bytes, *, memory_target: int = 4_000_000_000, pins: bool = False, context_order: int | None = None) -> bytes:
+    """A stream coded anew: boundaries that relabelling has made meaningless are gone, and labels are flat or, if pins, in pins.
+
+    memory_target: bytes that the driver and a task may use; a warning tells if two streams and a slice with its components take more.
+    """
+    h = Header.parse(raw)
+    need = 2 * len(raw) + h.sx * h.sy * (h.data_width + 5)
+    if need > memory_target:
+        warnings.warn(f"about {need} bytes are needed, above the target of {memory_target}", stacklevel=2)
+    return compress(decompress(spark, raw), pins=pins, context_order=h.context_order if context_order is None else context_order)
 
 
 def used(nodes: list[int], codes: list[int]) -> int:
@@ -403,8 +514,30 @@ def used(nodes: list[int], codes: list[int]) -> int:
     return at
 
 
-def check(raw: bytes) -> dict:
-    """Which sections are sound: header, crack_index, labels, and bad_z, the slices that are not. None: cannot be told."""
+def sound(code: bytes, h: Header, ranks: np.ndarray | None, crc: int | None) -> bool:
+    try:
+        r = slice_regions(code, (h.sx, h.sy), h.boundaries, ranks, h.context_order)
+    except (ValueError, IndexError):
+        return False
+    return crc is None or region_crc(r) == crc
+
+
+def damaged_slices(spark: SparkSession, s: Stream) -> list[int]:
+    """Slices that are not sound, found on the executors."""
+    h, ranks = s.header, s.ranks()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bad = [not sound(bytes(c), h, ranks, None if pd.isna(k) else int(k)) for c, k in zip(b.code, b.crc, strict=True)]
+            yield b[["z"]][np.array(bad, bool)]
+
+    crcs = [None] * h.sz if s.slice_crcs is None else s.slice_crcs.tolist()
+    rows = [(z, bytearray(c), k) for z, (c, k) in enumerate(zip(s.codes, crcs, strict=True))]
+    return sorted(r["z"] for r in spread(spark, rows, "z long, code binary, crc long").mapInPandas(run, "z long").collect())
+
+
+def check(raw: bytes, spark: SparkSession | None = None) -> dict:
+    """Which sections are sound: header, crack_index, labels, and bad_z, the slices that are not. None: cannot be told. With a session, slices are checked on the executors."""
     out: dict = {"header": True, "crack_index": None, "labels": None, "bad_z": []}
     try:
         Header.parse(raw)
@@ -419,20 +552,15 @@ def check(raw: bytes) -> dict:
     h = s.header
     out["crack_index"] = s.index_crc is None or crc32c(raw[h.n_bytes : h.n_bytes + 4 * h.sz]) == s.index_crc
     out["labels"] = s.labels_crc is None or crc32c(s.labels) == s.labels_crc
-    if h.sx * h.sy:
-        for z, code in enumerate(s.codes):
-            try:
-                r = slice_regions(code, (h.sx, h.sy), h.boundaries, s.ranks(), h.context_order)
-                good = s.slice_crcs is None or region_crc(r) == s.slice_crcs[z]
-            except (ValueError, IndexError):
-                good = False
-            if not good:
-                out["bad_z"].append(z)
+    if h.sx * h.sy * h.sz:
+        ranks = s.ranks()
+        crc = lambda z: None if s.slice_crcs is None else int(s.slice_crcs[z])
+        out["bad_z"] = damaged_slices(spark, s) if spark else [z for z, c in enumerate(s.codes) if not sound(c, h, ranks, crc(z))]
     return out
 
 
-def ok(raw: bytes) -> bool:
-    c = check(raw)
+def ok(raw: bytes, spark: SparkSession | None = None) -> bool:
+    c = check(raw, spark)
     return bool(c["header"] and c["crack_index"] and c["labels"] and not c["bad_z"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -26,12 +27,25 @@ class LabelVolume:
     """A lazy table of voxels (x, y, z, label) with the volume's shape. Every (x, y, z) inside the shape has exactly one row.
 
     width: bytes of the rendered label type. order: element order of exported arrays, F or C; no operator depends on it.
+    stored_runs: the same content as runs (z, y, x0, x1, label), if the volume is made of them: not overlapping, and all of each row. Questions about
+    labels, relabelling, aggregates and components read these instead of voxels.
     """
 
     voxels: DataFrame
     shape: tuple[int, int, int]
     width: int = 8
     order: str = "F"
+    stored_runs: DataFrame | None = None
+
+    @property
+    def rows(self) -> DataFrame:
+        """Runs if there are some, else voxels: each with columns y, z, label."""
+        return self.voxels if self.stored_runs is None else self.stored_runs
+
+    @property
+    def lines(self) -> DataFrame:
+        """z, y, x0, x1, label: the runs, or each voxel as a run of one."""
+        return self.voxels.select("z", "y", F.col("x").alias("x0"), F.col("x").alias("x1"), "label") if self.stored_runs is None else self.stored_runs
 
     @property
     def spark(self) -> SparkSession:
@@ -55,7 +69,14 @@ class LabelVolume:
         return self.shape[0]
 
     def with_voxels(self, voxels: DataFrame, **changes) -> LabelVolume:
-        return replace(self, voxels=voxels.select("x", "y", "z", "label"), **changes)
+        return replace(self, voxels=voxels.select("x", "y", "z", "label"), stored_runs=None, **changes)
+
+    def relabelled(self, change: Callable[[DataFrame], DataFrame], **changes) -> LabelVolume:
+        """The volume with change applied to its rows: something that replaces the column label and reads no coordinates."""
+        if self.stored_runs is None:
+            return self.with_voxels(change(self.voxels), **changes)
+        new = from_runs(change(self.stored_runs), self.shape)
+        return replace(self, voxels=new.voxels, stored_runs=new.stored_runs, **changes)
 
     def with_label(self, label: Column, **changes) -> LabelVolume:
         return self.with_voxels(self.voxels.withColumn("label", label.cast("long")), **changes)
@@ -142,6 +163,16 @@ def from_table(df: DataFrame, shape: tuple[int, int, int] | None = None, width:
     return LabelVolume(voxels, shape, width)
 
 
+RUN = ("z", "y", "x0", "x1", "label")
+
+
+def from_runs(df: DataFrame, shape: tuple[int, int, int], width: int = 8, order: str = "F") -> LabelVolume:
+    """A volume of a table of runs z, y, x0, x1 (inclusive), label that do not overlap and cover all of the shape."""
+    r = df.select(*[F.col(c).cast("long").alias(c) for c in RUN])
+    voxels = r.select(F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z", "label")
+    return LabelVolume(voxels, tuple(shape), width, order, r)
+
+
 def full(spark: SparkSession, shape: tuple[int, int, int], value: int = 0, width: int = 8, order: str = "C") -> LabelVolume:
     """A volume of one label, made on the executors."""
     sx, sy, sz = shape

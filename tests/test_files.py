@@ -27,7 +27,7 @@ def test_save_and_load(spark, tmp_path, name):
 
 def test_numpy_in_blocks(spark, tmp_path):
     v = LabelVolume.from_numpy(spark, A)
-    files.save_numpy(v, tmp_path / "b.npy", block_voxels=1)
+    files.save_numpy(v, tmp_path / "b.npy")
     assert (np.load(tmp_path / "b.npy") == A).all()
 
 

@@ -243,3 +243,43 @@ def test_short_forms(spark):
         assert (got.to_numpy() == want).all()
     assert 2 in v and 9 not in v and v == v.copy() and v != v + 1 and v * 0 == 0
     assert R.ascontiguousarray(v).to_numpy().flags.c_contiguous and R.asfortranarray(v).to_numpy().flags.f_contiguous
+
+
+def test_runs_as_storage(spark):
+    """All that reads runs gives what it gives on voxels."""
+    from lamella import as_runs, from_runs, label_stats, pixel_pairs
+
+    a = np.kron(RNG.integers(0, 4, (5, 4, 3)), np.ones((3, 2, 2), int)).astype(np.uint16)
+    v = LabelVolume.from_numpy(spark, a)
+    w = as_runs(v)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert (w.to_numpy() == a).all() and w.shape == v.shape and w.width == 2
+    for f in (lambda v: A.voxel_counts(v), lambda v: A.voxel_counts(v, 2), A.centroids, A.bounding_boxes, label_stats, pixel_pairs, A.runs, A.stored_width, S.labels, S.min_max, lambda v: S.labels_for_z_range(v, 1, 3), lambda v: S.z_range_for_label(v, 3), lambda v: S.contains(v, [1, 9])):
+        assert rows(f(v)) == rows(f(w))
+    for f in (lambda v: R.remap(v, {0: 1, 1: 1, 2: 70000, 3: 3}), lambda v: R.mask(v, [1, 2], 3), lambda v: R.mask_except(v, [1]), lambda v: R.renumber(v, 7)[0], lambda v: R.add_scalar(v, 5), lambda v: S.z_slab(v, 2, 5), lambda v: R.astype(R.multiply_scalar(v, 200), 1)):
+        x, y = f(v), f(w)
+        assert y.stored_runs is not None and (x.to_numpy() == y.to_numpy()).all() and x.width == y.width
+        assert rows(A.runs(x)) == rows(A.runs(y)) and rows(pixel_pairs(x)) == rows(pixel_pairs(y))
+    assert S.cutout(w, (slice(1, 4),)).stored_runs is None
+    one = C.connected_components(w, 6)[0]
+    assert (one.to_numpy() == C.connected_components(v, 6)[0].to_numpy()).all()
+    wide = from_runs(spark.createDataFrame([(0, 0, 0, 999, 5), (0, 1, 0, 499, 5), (0, 1, 500, 999, 0), (1, 0, 0, 999, 5), (1, 1, 0, 999, 6)], "z long, y long, x0 long, x1 long, label long"), (1000, 2, 2))
+    assert rows(A.voxel_counts(C.connected_components(wide, 6)[0])) == [(0, 500), (1, 2500), (2, 1000)]
+
+
+def test_pins_in_slabs(spark):
+    a = np.kron(RNG.integers(0, 3, (4, 4, 5)), np.ones((2, 2, 2), int)).astype(np.uint8)
+    v = LabelVolume.from_numpy(spark, a)
+    want = sorted((r["z"], r["ccid"]) for r in C.component_table(v).collect())
+    for slab in (1, 3, 128):
+        p = P.pins(v, slab)
+        assert sorted((r["z"], r["ccid"]) for r in P.met_components(v, p).collect()) == want
+        assert all(r["z0"] // slab == (r["z0"] + r["depth"]) // slab for r in p.collect())
+
+
+def test_point_cloud_of_some(spark):
+    v = LabelVolume.from_numpy(spark, np.kron(RNG.integers(0, 4, (4, 4, 4)), np.ones((4, 4, 1), int)).astype(np.uint8))
+    every = sorted(map(tuple, N.point_cloud(v, skip_background=False).collect()))
+    assert sorted(map(tuple, N.point_cloud(v, [1, 3], 1, 3).collect())) == [r for r in every if r[0] in (1, 3) and 1 <= r[3] < 3]
+    with pytest.raises(LabelError):
+        N.point_cloud(v, [1, 99])

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 from lamella.functions.crc import crc8, crc32c
-from lamella.sources import contexts, cracks, stream
+from lamella.sources import contexts, cracks, files, stream
+from lamella.sources.remote import rload
 from lamella.volume import FormatError, LabelVolume
 
 R = np.random.default_rng(11)
@@ -56,9 +57,9 @@ def test_round_trip(spark, kind):
         if kind == "pins" and name == "blobs":
             assert s.header.label_format == stream.PINS
         if kind == "context":
-            plain = stream.reencode(raw, 0)
+            plain = stream.reencode(spark, raw, 0)
             assert (stream.decompress(spark, plain).to_numpy() == a.reshape(v.shape)).all()
-            assert stream.reencode(plain, s.header.context_order) == raw
+            assert stream.reencode(spark, plain, s.header.context_order) == raw
 
 
 def test_slices_of_a_stream(spark):
@@ -67,6 +68,60 @@ def test_slices_of_a_stream(spark):
     assert (stream.decompress(spark, raw, 1, 4).to_numpy() == a[:, :, 1:4]).all()
 
 
+def test_blocks(spark, tmp_path):
+    for name, a in volumes():
+        if not a.size:
+            assert stream.block_table(LabelVolume.from_numpy(spark, a)).count() == 0
+            continue
+        v = LabelVolume.from_numpy(spark, a)
+        for order in (0, 2):
+            where = f"file://{tmp_path}/{name}-{order}"
+            files.write_blocks(v, where, context_order=order)
+            back = files.read_blocks(spark, where)
+            assert (back.to_numpy() == a.reshape(v.shape)).all() and back.width == a.itemsize, name
+            part = files.read_blocks(spark, where, 1, 2)
+            assert (part.to_numpy() == a.reshape(v.shape)[:, :, 1:2]).all()
+
+
+def test_byte_ranges(spark, tmp_path):
+    """Labels and slices of a stored stream, from fewer bytes than it has."""
+    a = R.integers(0, 40, (30, 20, 12)).astype(np.uint16)
+    for pins, volume in ((False, a), (True, np.repeat(a[:, :, :3], 4, axis=2))):
+        raw = stream.compress(LabelVolume.from_numpy(spark, volume), pins=pins, context_order=2)
+        path = tmp_path / f"a{pins}.ckl"
+        path.write_bytes(raw)
+        for source in (path, f"file://{path}", raw):
+            r = rload(spark, source)
+            assert r.shape == volume.shape and r.labels().tolist() == np.unique(volume).tolist() and r.num_labels() == len(np.unique(volume))
+            assert 7 in r and 77 not in r
+            before = r.n_read
+            assert (r[3:9, ::2, 5].to_numpy() == volume[3:9, ::2, 5:6]).all()
+            assert (r[..., 4:7].to_numpy() == volume[..., 4:7]).all()
+            assert before < len(raw) / 10 and r.n_read < len(raw)
+        with pytest.raises(FormatError):
+            rload(spark, raw[:200]).slab().voxels.collect()
+    empty = stream.compress(LabelVolume.from_numpy(spark, np.zeros((0, 0, 0), np.uint32)))
+    assert rload(spark, empty).labels().tolist() == [] and rload(spark, empty).num_labels() == 0
+
+
+def test_recompress(spark):
+    a = np.kron(R.integers(0, 4, (3, 3, 4)), np.ones((4, 4, 1), int)).astype(np.uint8)
+    raw = stream.compress(LabelVolume.from_numpy(spark, a))
+    pins = stream.recompress(spark, raw, pins=True)
+    assert stream.Stream.parse(pins).header.label_format == stream.PINS and stream.recompress(spark, pins) == raw
+    with pytest.warns(UserWarning, match="target"):
+        stream.recompress(spark, raw, memory_target=10)
+
+
+def test_context_counts(spark):
+    a = R.integers(0, 3, (9, 7, 4)).astype(np.uint8)
+    v = LabelVolume.from_numpy(spark, a)
+    found = [cracks.differences(stream.symbols_of(a[:, :, z], stream.linear(v) >= v.size // 2)[1]) for z in range(4)]
+    want = contexts.histogram(found, 2)
+    got = {(r["context"], r["code"]): r["n"] for r in stream.context_counts(stream.planned(v, 0)[1], 2).collect()}
+    assert got == {(i, j): want[i, j] for i in range(16) for j in range(4) if want[i, j]}
+
+
 def test_slices_without_spark():
     for shape in ((1, 1), (2, 2), (30, 20), (1, 40), (64, 64)):
         for top in (1, 2, 50):
@@ -114,6 +169,8 @@ def test_damage(spark):
     labels = at + 4 * 5
     assert not stream.check(flip(labels + 8))["labels"]
     code = labels + len(s.labels) + len(s.codes[0]) + len(s.codes[1]) - 1
-    assert stream.check(flip(code)) == {"header": True, "crack_index": True, "labels": True, "bad_z": [1]}
+    for where in (None, spark):
+        assert stream.check(flip(code), where) == {"header": True, "crack_index": True, "labels": True, "bad_z": [1]}
+        assert stream.ok(raw, where) and not stream.ok(flip(code), where)
     with pytest.raises(Exception, match="damaged|chain"):
         stream.decompress(spark, flip(code)).voxels.collect()
