@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.session import shared_dir, stored  # noqa: F401
+from lamella.session import drop, read_by, scratch, shared_dir, stored, tidy  # noqa: F401
 
 #: A word is a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

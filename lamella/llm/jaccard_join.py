@@ -74,10 +74,15 @@ def slack(d: int) -> int:
     return 4 + d // 12
 
 
+def cells(x: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of m to which each shingle hash of x is dealt, and what it is mixed to."""
+    y = kernel.mix(x + U((2 * seed + 1) * int(kernel.BASE) % 2**64))
+    return ((y >> U(32)) * U(m) >> U(32)).astype(np.int64), y
+
+
 def sketch_words(x: np.ndarray, m: int, seed: int) -> np.ndarray:
     """The m words of the sketch of shingle hashes x: XOR of the hashes dealt to each; 0 is an empty word."""
-    y = kernel.mix(x + U((2 * seed + 1) * int(kernel.BASE) % 2**64))
-    at = ((y >> U(32)) * U(m) >> U(32)).astype(np.int64)
+    at, y = cells(x, m, seed)
     order = np.argsort(at, kind="stable")
     out = np.zeros(m, U)
     at = at[order]
@@ -86,6 +91,23 @@ def sketch_words(x: np.ndarray, m: int, seed: int) -> np.ndarray:
     return out
 
 
+def least_shared(x: np.ndarray, table: list[tuple[int, int, int]]) -> int:
+    """Words that a text shares with each text that it links with, at least, in the band that has fewest: all but D agree, and empty ones may have been left out."""
+    least = 0
+    for j, (low, most, d) in enumerate(table):
+        if low <= len(x) <= most and d > 0:
+            m = d + 1 + slack(d)
+            empty = m - np.count_nonzero(np.bincount(cells(x, m, j)[0], minlength=m))
+            need = m - d - (empty if empty <= slack(d) else 0)
+            least = min(least or need, need)
+    return max(1, least)
+
+
+def bands_upto(table: list[tuple[int, int, int]], n: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """table if it has all bands of size n, else a longer one."""
+    return table if table[-1][0] >= n else list(bands(num, den, 2 * n))
+
+
 def prune_bits(x: np.ndarray) -> np.ndarray:
     """PRUNE longs with the parity of the shingles dealt to each bit."""
     bit = np.bincount((kernel.mix(x ^ U(0x5851F42D4C957F2D)) >> U(64 - (PRUNE * 64 - 1).bit_length())).astype(np.int64), minlength=PRUNE * 64) & 1
@@ -117,21 +139,23 @@ def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(kernel.shingles(h[a:b], k))
 
 
-PROFILE = "id long, n long, h1 long, h2 long, " + ", ".join(f"s{i} long" for i in range(PRUNE)) + ", fine binary"
+PROFILE = "id long, n long, need long, h1 long, h2 long, " + ", ".join(f"s{i} long" for i in range(PRUNE)) + ", fine binary"
 
 
 def profiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """id, n (set size), h1 and h2 (the set's identity), s0.. (pruning sketch), fine (growing sketch) for each row of docs (id, text)."""
+    """id, n (set size), need (as least_shared), h1 and h2 (the set's identity), s0.. (pruning sketch), fine (growing sketch) for each row of docs (id, text)."""
 
     def run(batches):
+        table = list(bands(num, den, 1))
         for b in batches:
             rows, fine = [], []
             for x in sets(b.column("text"), k):
+                table = bands_upto(table, len(x), num, den)
                 fine.append(fine_bits(x, num, den))
                 y = kernel.mix(x ^ U(0xD6E8FEB86659FD93))
-                rows.append(np.concatenate([np.array([len(x)], np.int64), np.array([np.add.reduce(x), np.bitwise_xor.reduce(y)], U).view(np.int64), prune_bits(x)]))
-            m = np.stack(rows) if rows else np.empty((0, PRUNE + 3), np.int64)
-            names = ["id", "n", "h1", "h2", *[f"s{i}" for i in range(PRUNE)], "fine"]
+                rows.append(np.concatenate([np.array([len(x), least_shared(x, table)], np.int64), np.array([np.add.reduce(x), np.bitwise_xor.reduce(y)], U).view(np.int64), prune_bits(x)]))
+            m = np.stack(rows) if rows else np.empty((0, PRUNE + 4), np.int64)
+            names = ["id", "n", "need", "h1", "h2", *[f"s{i}" for i in range(PRUNE)], "fine"]
             yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(np.ascontiguousarray(m[:, i])) for i in range(m.shape[1])], pa.array(fine, pa.binary())], names)
 
     return docs.mapInArrow(run, PROFILE)
@@ -197,8 +221,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 if len(seen) > 200_000:  # only saves work: copies that are missed here meet in their buckets
                     seen.clear()
                 seen.add(name)
-                if table[-1][0] < n:
-                    table = list(bands(num, den, 2 * n))
+                table = bands_upto(table, n, num, den)
                 for j, (low, most, d) in enumerate(table):
                     if low <= n <= most and d > 0:
                         w = sketch_words(x, d + 1 + slack(d), j)
@@ -279,6 +302,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
     return met.select("hub", "chunk", "kind", "id", "set").mapInArrow(compare, "a long, b long").distinct()
 
 
+@C.tidy
 def sharing(docs: DataFrame, known: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """id of the texts of known (id, n) that may link with another text of known: at least num / den of their shingles are in one more of these texts.
 
@@ -299,6 +323,7 @@ def sharing(docs: DataFrame, known: DataFrame, k: int, num: int, den: int) -> Da
     return known.join(alone, "id", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * den >= F.col("least") * num).select("id")
 
 
+@C.tidy
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id reachable by edges (a, b), for every id but the smallest ones themselves; never in one task."""
     return star_components(edges, one_task=0).withColumnRenamed("root", "component")
@@ -330,7 +355,7 @@ class Sketched:
         copies = some.groupBy(*set_of).agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep < other").drop("other")
         copies = C.stored(copies, "copies")
         # Each id with the smallest id of its set. Sizes and sketches travel with it.
-        whose = some.join(copies, set_of, "left").select("id", F.coalesce("rep", "id").alias("rep"), "n", *[f"s{i}" for i in range(PRUNE)])
+        whose = some.join(copies, set_of, "left").select("id", F.coalesce("rep", "id").alias("rep"), "n", "need", *[f"s{i}" for i in range(PRUNE)])
         self.whose = C.stored(whose.distinct(), "sets")
         self.same = self.whose.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         # Buckets with two members or more. Copies stand for their set once they are looked up below.
@@ -371,6 +396,7 @@ def mixed(members: DataFrame) -> DataFrame:
     return members.join(words, "word", "left_semi")
 
 
+@C.tidy
 def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """id, n_shingles, component for each row of docs: the smallest id reachable by links, itself included.
 
@@ -387,7 +413,9 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
 
     # Words whose members are in different components: their pairs that were not tried.
     members = C.stored(t.buckets.join(found, "id", "left").select("word", "bucket", "id", "lead", F.coalesce("component", "id").alias("component")), "members")
-    open_ = C.stored(mixed(members).join(t.whose.select("id", "rep").distinct(), "id"), "apart")
+    open_ = mixed(members)
+    enough = open_.groupBy("id").agg(F.countDistinct("word").alias("words")).join(t.whose.groupBy("id").agg(F.min("need").alias("need")), "id").where("words >= need").select("id")
+    open_ = C.stored(mixed(open_.join(enough, "id")).join(t.whose.select("id", "rep").distinct(), "id"), "apart")
     texts = t.whose.select(F.col("id").alias("rep"), "n").join(open_.select("rep").distinct(), "rep").select(F.col("rep").alias("id"), "n")
     stay = C.stored(sharing(t.named, texts, words, num, den), "stay")
     open_ = mixed(open_.join(C.small(stay.select(F.col("id").alias("rep")), BROADCAST_IDS), "rep", "left_semi").drop("rep").distinct())
@@ -399,6 +427,7 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     return t.known.join(found, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
+@C.tidy
 def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """All links: pairs (a, b) with a < b between set representatives, and the membership (id, rep) of each row with a set and an id.
 
@@ -409,6 +438,7 @@ def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: in
     return t.linking(t.within(t.buckets, F.col("l.id") < F.col("r.id"))), t.whose.select("id", "rep").distinct()
 
 
+@C.tidy
 def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs that stand for their component: those with its smallest id (repeated rows all), and all rows with a null id. Columns stay as they are."""
     out = link(docs, key=key, text=text, **options)

@@ -1,8 +1,9 @@
 """Media columns: documents as ordered sequences of texts and media references, with payloads resolved by digest.
 
 HTML is parsed into structs of text and media in document order. Media payloads
-live in a store keyed by the digest of their content; references meet them in a
-join on that digest, so payloads are stored once however often they are used.
+live in a store keyed by the digest of their content, where a partition writes
+equal payloads once; references meet them in a join on that digest, and what they
+find goes back to its place beside texts and captions.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import struct
 import uuid
 import zlib
 from html.parser import HTMLParser
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,7 @@ class Reader(HTMLParser):
         if tag not in INLINE_TAGS and self.caption is None:
             self.flush()
         a = dict(attrs)
-        if tag in MEDIA_TAGS and a.get("src"):
+        if tag in MEDIA_TAGS and a.get("src") and not self.hidden:
             if self.figures:
                 self.figures[-1].append(len(self.items))
             self.items.append(["media", a.get("alt") or "", a["src"], None])
@@ -100,14 +102,15 @@ class Reader(HTMLParser):
         return self.items
 
 
-ITEMS = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
+ITEMS = "array<struct<pos:int,nth:int,kind:string,text:string,ref:string,caption:string>>"
 
 
 def interleave(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """row (a struct of the columns keep), page (the SHA-256 of the page) and items for each row of pages.
 
-    items: array of struct(pos, kind, text, ref, caption) in document order, pos from 0; kind is text or media. White space is folded; scripts and
-    styles are left out; a figure's caption goes to all media in it and is no text of its own.
+    items: array of struct(pos, nth, kind, text, ref, caption) in document order, pos from 0; kind is text or media, nth numbers the media from 0 and
+    is null for text. White space is folded; what is in scripts and styles is left out; a figure's caption goes to all media in it and is no text of
+    its own.
     Results: null or empty html has no items; repeated rows are kept each; an empty table gives no rows. Columns may have any names.
     """
     C.short_batches(pages.sparkSession)
@@ -116,27 +119,34 @@ def interleave(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] =
 
     def run(batches):
         names = ("kind", "text", "ref", "caption")
-        item = pa.struct([("pos", pa.int32()), *[(n, pa.string()) for n in names]])
+        item = pa.struct([("pos", pa.int32()), ("nth", pa.int32()), *[(n, pa.string()) for n in names]])
         for b in batches:
-            found = [[{"pos": i, **dict(zip(names, x, strict=True))} for i, x in enumerate(Reader().read(h))] for h in b.column("html").to_pylist()]
+            found = []
+            for html in b.column("html"):
+                nth = count()
+                items = Reader().read(html.as_py())
+                found.append([{"pos": i, "nth": next(nth) if x[0] == "media" else None, **dict(zip(names, x, strict=True))} for i, x in enumerate(items)])
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("page"), pa.array(found, pa.list_(item))], ["row", "page", "items"])
 
     return given.mapInArrow(run, f"row {kind}, page string, items {ITEMS}")
 
 
+@C.tidy
 def resolve(sequences: DataFrame, media: DataFrame, *, digest: str = "digest") -> DataFrame:
     """sequences (row, page, items) with media, a struct of the columns of media, added to each item: that whose digest is the item's ref, or null.
 
-    The refs of distinct pages meet media in a join on the digest; what they find goes back by page and position, so items stay aligned. Equal
-    digests in media are the same content: one of them is taken. Results: a null ref or digest finds nothing.
+    Of the items, the fields nth and ref are used; others stay, and may be left out or added. The refs of distinct pages meet media in a join on the
+    digest; what they find goes back by page, in the order of nth, so items stay aligned. Equal digests in media are the same content: one of them is
+    taken. Both sides that may have few distinct values on many rows meet a stored table, so that Spark can split them.
+    Results: a null ref or digest finds nothing; an empty table gives no rows.
     """
     value = F.struct(*[F.col(c) for c in media.columns]).alias("media")
     stock = media.where(F.col(digest).isNotNull()).select(F.col(digest).alias("ref"), value).groupBy("ref").agg(F.first("media").alias("media"))
-    refs = sequences.select("page", F.explode("items").alias("i")).where("i.kind = 'media'").select("page", "i.pos", "i.ref").distinct()
-    found = refs.join(stock, "ref").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("pos", "media"))).alias("found"))
-    out = sequences.join(found, "page", "left")
-    match = lambda i: F.get(F.filter("found", lambda f: f["pos"] == i["pos"]), 0)["media"]
-    items = F.transform("items", lambda i: F.struct(*[i[c].alias(c) for c in ("pos", "kind", "text", "ref", "caption")], match(i).alias("media")))
+    refs = sequences.select("page", F.explode("items").alias("i")).where("i.nth is not null").select("page", "i.nth", "i.ref").distinct()
+    found = refs.join(C.stored(stock, "stock"), "ref", "left").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("nth", "media"))).alias("found"))
+    out = sequences.join(C.stored(found, "found"), "page", "left")
+    fields = [f.name for f in sequences.schema["items"].dataType.elementType]
+    items = F.transform("items", lambda i: F.struct(*[i[c].alias(c) for c in fields], F.get("found", i["nth"])["media"].alias("media")))
     return out.select("row", "page", items.alias("items"))
 
 
@@ -186,7 +196,11 @@ def padded(data: Column) -> Column:
 
 
 def store(payloads: DataFrame, where: str) -> None:
-    """Write payloads (binary column payload) as digest, media, to the folder where. A partition writes equal payloads once."""
+    """Write payloads (binary column payload, each of a positive multiple of WIDTH bytes) as digest, media, to the folder where.
+
+    A partition writes equal payloads once, as far as it remembers them; describe() gives one row for each digest in any case.
+    Results: a null payload is not stored; an empty table leaves a folder without rows. Other columns are ignored.
+    """
     C.short_batches(payloads.sparkSession)
 
     def run(batches):
@@ -205,7 +219,7 @@ def store(payloads: DataFrame, where: str) -> None:
                 media.append(to_png(data))
             yield pa.RecordBatch.from_pydict({"digest": digests, "media": media}, pa.schema([("digest", pa.string()), ("media", pa.binary())]))
 
-    payloads.select("payload").mapInArrow(run, "digest string, media binary").write.option("compression", "none").parquet(where)
+    payloads.select("payload").where("payload is not null").mapInArrow(run, "digest string, media binary").write.option("compression", "none").parquet(where)
 
 
 DESCRIBED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -220,7 +234,7 @@ def feature(samples: np.ndarray) -> str:
 
 
 def describe(spark: SparkSession, where: str) -> DataFrame:
-    """What the stored media hold, read back from the folder where: one row for each digest."""
+    """What the stored media hold, read back from the folder where: one row for each digest. Results: a damaged medium raises an error; a folder without rows gives none."""
     C.short_batches(spark)
 
     def run(batches):

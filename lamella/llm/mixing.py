@@ -36,6 +36,7 @@ def key_hash(key: Column, ties: Column | None = None) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
+@C.tidy
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """sizes (source, size) with source_id and target: share * (sum of sizes) dealt by weight; one above most * its size stops there and its excess is dealt to the rest again.
 
@@ -57,6 +58,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
         stopped, left, rest = n, share * total - taken, active
 
 
+@C.tidy
 def bounds(sized: DataFrame, budget: DataFrame, n_sources: int) -> DataFrame:
     """Rows (source_id, low, high, largest): a source takes the documents with low <= hash < high and size <= largest, for each of its rows.
 
@@ -117,6 +119,7 @@ def plan(sized: DataFrame, weights: Sequence[float], share: float, most: float)
     return C.stored(goal.join(ranges, "source_id", "left").select("source", F.col("size").alias("source_size"), "target", "base", "ranges"), "plan"), n
 
 
+@C.tidy
 def mix(
     docs: DataFrame, size: Column, *, key: str = "doc_id", source: str = "source", ties: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2
 ) -> DataFrame:
@@ -138,6 +141,7 @@ def mix(
     return sized.join(by_source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
+@C.tidy
 def take(docs: DataFrame, size: Column, **options) -> DataFrame:
     """The mix itself: each row of docs as often as mix() takes it."""
     out = mix(docs, size, **options).where(F.col("copies") > 0)

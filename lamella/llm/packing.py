@@ -71,6 +71,7 @@ def boundaries(lengths: np.ndarray, count: np.ndarray, n_buckets: int) -> list[i
     return out[::-1]
 
 
+@C.tidy
 def pack(docs: DataFrame, length: Column, *, n_buckets: int = 16, budget: int = 16_384, key: str = "doc_id", ties: Column | None = None) -> DataFrame:
     """docs with n_tokens, bucket (from 0), bucket_len, batch (from 0 in its bucket), slot (from 0 in its batch).
 

@@ -105,6 +105,7 @@ def rates_of(given: DataFrame) -> DataFrame:
     return C.checkpointed(rates.select("host", F.col("rate").alias("host_rate"), F.col("bad").alias("bad_host")))
 
 
+@C.tidy
 def judge(docs: DataFrame, *, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each row of docs: row (a struct of the columns keep), stats (see statistics()), base_failed, soft_failed, host_rate, bad_host, kept.
 
@@ -120,6 +121,7 @@ def judge(docs: DataFrame, *, text: str = "text", host: str = "source", keep: tu
     return out.select("row", "stats", "base_failed", "soft_failed", "host_rate", "bad_host", kept.alias("kept"))
 
 
+@C.tidy
 def kept(docs: DataFrame, *, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs that judge() keeps, with all columns. The rows that are not base_failed are stored with their flags, so the statistics are computed once."""
     given = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host).alias("host"), C.once(stats=statistics(C.whole(text)))).withColumns(failures())

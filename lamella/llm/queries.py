@@ -55,6 +55,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@C.tidy
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths are those of the token files, end ids included."""
     docs = C.table(spark, sf_dir, "documents").withColumn("digest", F.md5(C.whole("text")))
@@ -92,22 +93,39 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("bad_bound", 6).alias("bad_bound"))
 
 
+@C.tidy
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is a page with one figure: its text as stored media, referred to by the digest of the padded text."""
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", C.whole("text").cast("binary").alias("raw"))
-    payload = media.padded(F.col("raw"))
+    """Each document is a page: its source's name as a figure, half of its lines, its whole text as a figure, the other lines.
+
+    Figures refer to stored media by the digest of the padded payload; those of a source are shared by its documents. The texts of the pages'
+    items are counted and left behind before the media are looked up.
+    """
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", C.whole("text").alias("text"), C.whole("source").alias("source"))
+    payload = lambda c: media.padded(F.col(c).cast("binary"))
     where = media.folder(spark)
-    media.store(docs.select(payload.alias("payload")), where)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    page = F.concat(F.lit('<figure><img src="'), F.sha2(payload, 256), F.lit('" alt="document '), name, F.lit('"><figcaption>Text of document '), name, F.lit("</figcaption></figure>"))
-    pages = docs.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), page.alias("html"))
-    out = media.resolve(media.interleave(pages, keep=("doc_id", "n_bytes")), media.describe(spark, where))
-    item = F.get(F.filter("items", lambda i: i["kind"] == "media"), 0)
-    out = out.select("row.doc_id", "row.n_bytes", item.alias("i"))
+    media.store(docs.select(payload("text").alias("payload")).unionByName(docs.select("source").distinct().select(payload("source").alias("payload"))), where)
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    figure = lambda c, caption: F.concat(F.lit('<figure><img src="'), F.sha2(payload(c), 256), F.lit('"><figcaption>'), escaped(caption), F.lit("</figcaption></figure>"))
+    lines = F.split("text", "\n", -1)
+    half = F.floor(F.size(lines) / 2).cast("int")
+    part = lambda some: F.concat(F.lit("<p>"), escaped(F.array_join(some, "\n")), F.lit("</p>"))
+    name = F.concat(F.lit("Text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    page = F.concat(figure("source", F.col("source")), part(F.slice(lines, 1, half)), figure("text", name), part(F.slice(lines, half + 1, F.size(lines))))
+    pages = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), page.alias("html"))
+    light = F.transform("items", lambda i: F.struct(*[i[c].alias(c) for c in ("pos", "nth", "kind", "ref", "caption")], F.length(i["text"]).alias("chars")))
+    sequences = C.stored(media.interleave(pages, keep=("doc_id", "n_bytes")).select("row", "page", light.alias("items")), "sequences")
+    out = media.resolve(sequences, media.describe(spark, where))
+    shown = F.filter("items", lambda i: i["kind"] == "media")
+    chars = F.aggregate(F.filter("items", lambda i: i["kind"] == "text"), F.lit(0).cast("long"), lambda n, i: n + i["chars"])
+    out = out.select("row.doc_id", "row.n_bytes", F.get(shown, 1).alias("i"), F.get(shown, 0).alias("s"), F.size("items").cast("long").alias("n_items"), chars.alias("text_chars"))
     fields = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return out.select("doc_id", "n_bytes", *[F.col(f"i.media.{c}").alias(c) for c in fields], F.col("i.caption").alias("caption"))
+    return out.select(
+        "doc_id", "n_bytes", *[F.col(f"i.media.{c}").alias(c) for c in fields], F.col("i.caption").alias("caption"), F.col("i.pos").cast("long").alias("pos"),
+        F.col("s.caption").alias("source_caption"), F.col("s.media.payload_sha256").alias("source_sha256"), "n_items", "text_chars",
+    )
 
 
+@C.tidy
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("n_words"), F.md5(C.whole("text")).alias("digest"))
     out = mixing.mix(C.stored(docs, "lengths"), F.col("n_words"), ties=F.col("digest"))

@@ -7,6 +7,7 @@ complete them occur near them in the same scope, by an interval join.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,8 +63,11 @@ def found(text: Column, pattern: str, kind: str, keep=None) -> Column:
     spans = C.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
     if kind not in HINTS:
         return spans
-    hinted = reduce(lambda x, y: x | y, (F.contains(text, F.lit(h)) for h in HINTS[kind]))
-    return F.when(hinted, spans).otherwise(F.array().cast(SPANS))
+    return F.when(hinted(text, HINTS[kind]), spans).otherwise(F.array().cast(SPANS))
+
+
+def hinted(text: Column, hints: Iterable[str]) -> Column:
+    return reduce(lambda x, y: x | y, (F.contains(text, F.lit(h)) for h in hints))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -104,26 +108,25 @@ def linked(parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each row of docs: row (a struct of the columns keep), then base and spans, each an array of struct(start, kind, end) sorted by start, then kind.
-
-    kind is the place in KINDS. base has the strong spans, spans those and the complete weak parts. What is linked depends on the text alone,
-    so parts are joined by the text's MD5 and copies of a text are linked once. What they complete goes back to the rows by broadcast if it has few
-    spans; if not, the rows with weak parts, and only they, meet it in a shuffle.
-    Results: a null or empty text has empty arrays; repeated rows are reported each; an empty table gives no rows. Columns of docs may have any
-    names.
-    """
+def marked(docs: DataFrame, text: str, **more: Column) -> DataFrame:
+    """base, weak, breaks and doc for each row of docs, and more: strong spans, weak parts, blank lines, and the MD5 of the text. The last two are null without weak parts."""
     t = C.whole(text)
-    weak = [found(t, pattern, kind) for kind, pattern in WEAK.items()]
-    rows = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("row"), F.sort_array(F.concat(*base_spans(t))).alias("base"), F.concat(*weak).alias("weak"), t.alias("t")
-    )
-    rows = rows.select("row", "base", "weak", F.when(F.size("weak") > 0, found(F.col("t"), r"\n[ \t\r\x0B\f]*\n", "break")).alias("breaks"), F.when(F.size("weak") > 0, F.md5("t")).alias("doc"))
-    rows = C.stored(rows, "secrets")
+    weak = F.concat(*[found(t, pattern, kind) for kind, pattern in WEAK.items()])
+    rows = docs.select(*[c.alias(n) for n, c in more.items()], C.once(base=F.sort_array(F.concat(*base_spans(t))), weak=weak, t=t))
+    some = F.size("weak") > 0
+    return rows.select(*more, "base", "weak", F.when(some, found(F.col("t"), r"\n[ \t\r\x0B\f]*\n", "break")).alias("breaks"), F.when(some, F.md5("t")).alias("doc"))
+
+
+def completed(rows: DataFrame) -> DataFrame:
+    """doc, more: the complete weak parts of the texts of marked(), stored."""
     parts = rows.where(F.col("doc").isNotNull()).select("doc", "breaks", F.explode(F.concat("base", "weak")).alias("p"))
     scope = F.size(F.filter("breaks", lambda b: b["start"] < F.col("p.start")))
     complete = linked(parts.select("doc", scope.alias("scope"), "p.kind", "p.start", "p.end"))
-    complete = C.stored(complete.groupBy("doc").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")), "complete")
+    return C.stored(complete.groupBy("doc").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")), "complete")
+
+
+def attached(rows: DataFrame, complete: DataFrame) -> DataFrame:
+    """row, base, spans of rows (row, base, doc): by broadcast if complete has few spans; if not, the rows with a doc, and only they, meet it in a shuffle."""
     spans = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPANS)))).alias("spans")
     if (complete.agg(F.sum(F.size("more"))).first()[0] or 0) <= BROADCAST_SPANS:
         return rows.join(F.broadcast(complete), "doc", "left").select("row", "base", spans)
@@ -131,6 +134,19 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     return with_weak.unionByName(rows.where(F.col("doc").isNull()).select("row", "base", F.col("base").alias("spans")))
 
 
+@C.tidy
+def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row for each row of docs: row (a struct of the columns keep), then base and spans, each an array of struct(start, kind, end) sorted by start, then kind.
+
+    kind is the place in KINDS. base has the strong spans, spans those and the complete weak parts. What is linked depends on the text alone,
+    so parts are joined by the text's MD5 and copies of a text are linked once.
+    Results: a null or empty text has empty arrays; repeated rows are reported each; an empty table gives no rows. Columns of docs may have any
+    names.
+    """
+    rows = C.stored(marked(docs, text, row=F.struct(*[F.col(c) for c in keep])), "secrets")
+    return attached(rows, completed(rows))
+
+
 def merged(spans: Column) -> Column:
     """Sorted spans as disjoint struct(start, end), overlapping or touching ones united."""
 
@@ -155,8 +171,16 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(C.let(merged(spans), rebuilt))
 
 
+@C.tidy
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with the spans of scan() replaced in the text; null texts stay null. Columns and rows stay as they are."""
-    out = scan(docs, text=text, keep=tuple(docs.columns))
+    """docs with the spans of scan() replaced in the text; null texts stay null. Columns and rows stay as they are.
+
+    The strong spans are found once more beside the texts, so no text is stored, and texts are shuffled only if the complete parts are too many to be
+    broadcast.
+    """
+    complete = completed(C.stored(marked(docs, text).where(F.size("weak") > 0), "secrets"))
+    t = C.whole(text)
+    own = C.once(base=F.sort_array(F.concat(*base_spans(t))), doc=F.when(hinted(t, "".join(h for k in WEAK for h in HINTS[k])), F.md5(t)))
+    out = attached(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), own), complete)
     new = F.when(F.col("row")[text].isNotNull(), redacted(F.col("row")[text], F.col("spans")))
     return out.select(F.col("row").withField(text, new).alias("row")).select("row.*")

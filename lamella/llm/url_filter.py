@@ -13,13 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Suffixes of two labels; all others are the last label.
+from . import common as C
+
+#: Suffixes of several labels, unless the caller has a longer list; all others are the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz")
 #: A url is blocked if mean - BOUND * standard deviation of the posterior rate of bad pages is above MAX_BAD.
 BOUND, MAX_BAD = 1.645, 0.5
 #: Least and most pages that a prior counts for.
 STRENGTH = (1.0, 1000.0)
-#: Rule and reputation tables up to so many rows are broadcast by the operator; larger ones are joined by a shuffle.
+#: Rule and reputation tables up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
@@ -37,16 +39,22 @@ def suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def domain_of(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix; a bare suffix is its own registered domain."""
+def domain_of(host: Column, known: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix, the longest of known or the last label; a bare suffix is its own registered domain."""
     labels = F.split(host, r"\.", -1)
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), ".")
-    two = last(2).isin(*TWO_LABEL_SUFFIXES)
-    return F.when(two, last(3)).otherwise(last(2)), F.when(two, last(2)).otherwise(last(1))
+    domain, suffix = last(2), last(1)
+    by_size: dict[int, list[str]] = {}
+    for x in known:
+        by_size.setdefault(x.count(".") + 1, []).append(x)
+    for n, some in sorted(by_size.items()):
+        fits = last(n).isin(*some)
+        domain, suffix = F.when(fits, last(n + 1)).otherwise(domain), F.when(fits, last(n)).otherwise(suffix)
+    return domain, suffix
 
 
 def level(counts: DataFrame, by: str, above: Column) -> DataFrame:
-    """counts with mean and strength of the posterior of each of its rows. counts: by, n, bad and what above, the mean of the level above, reads.
+    """by, mean and strength of the posterior of each row of counts, stored. counts: by, n, bad and what above, the mean of the level above, reads.
 
     The prior's strength is fitted by moments: how much the rates of rows of two pages or more differ from the level above beyond chance.
     """
@@ -58,27 +66,30 @@ def level(counts: DataFrame, by: str, above: Column) -> DataFrame:
     rho = (F.col("spread") - F.col("chance")) / F.col("size")
     fit = fit.select(F.when(rho > 0, F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), 1 / rho - 1))).otherwise(F.lit(STRENGTH[1])).alias("prior"))
     total = F.col("n") + F.col("prior")
-    return counts.crossJoin(F.broadcast(fit)).select(F.col(by), ((F.col("bad") + F.col("prior") * above) / total).alias("mean"), total.alias("strength"))  # fit is one row
+    # fit is one row
+    return C.stored(counts.crossJoin(F.broadcast(fit)).select(F.col(by), ((F.col("bad") + F.col("prior") * above) / total).alias("mean"), total.alias("strength")), f"rates-{by}")
 
 
-def reputation(labelled: DataFrame) -> dict[str, DataFrame]:
-    """host, domain, suffix, all: tables of (name, mean, strength). labelled: host, bad (boolean)."""
-    domain, suffix = domain_of(F.col("host"))
+def reputation(labelled: DataFrame, known: Sequence[str] = TWO_LABEL_SUFFIXES) -> dict[str, DataFrame]:
+    """host, domain, suffix, all: tables of (name, mean, strength). labelled: host, bad (boolean). Counts and levels are stored, so none is computed again for the next."""
+    domain, suffix = domain_of(F.col("host"), known)
     hosts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).select("*", domain.alias("domain"), suffix.alias("suffix"))
+    hosts = C.stored(hosts, "hosts")
     counts = lambda by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     everything = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     # Before any page is seen, half a bad page in one.
-    everything = everything.select(((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("mean"), (F.col("n") + 1.0).alias("strength"))
+    everything = C.stored(everything.select(((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("mean"), (F.col("n") + 1.0).alias("strength")), "rates-all")
     top = everything.select(F.col("mean").alias("above"))
+    under = lambda rows, level, by: rows.join(C.small(level.select(by, F.col("mean").alias("above")), BROADCAST_ROWS), by)
     s = level(counts(["suffix"]).crossJoin(F.broadcast(top)), "suffix", F.col("above"))  # top is one row
-    d = level(counts(["domain", "suffix"]).join(s.select("suffix", F.col("mean").alias("above")), "suffix"), "domain", F.col("above"))
-    h = level(hosts.join(d.select("domain", F.col("mean").alias("above")), "domain"), "host", F.col("above"))
+    d = level(under(counts(["domain", "suffix"]), s, "suffix"), "domain", F.col("above"))
+    h = level(under(hosts, d, "domain"), "host", F.col("above"))
     return {"all": everything, "suffix": s, "domain": d, "host": h}
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """host, path, rule, action of the longest rule that fits each distinct host and path. rules: host, path, action."""
-    rules = rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "action")
+    rules = C.small(rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "action"), BROADCAST_ROWS)
     probes = pages.select("host", "path").distinct().select("host", "path", F.explode(suffixes(F.col("host"))).alias("_h"))
     hits = probes.join(rules, "_h").where(F.col("path").startswith(F.col("_p")))
     rule = F.concat("_h", "_p")
@@ -87,11 +98,12 @@ def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.action")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, labelled: DataFrame, *, key: str = "page_id", url: str = "url", labelled_url: str = "url", bad: str = "bad") -> DataFrame:
+@C.tidy
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, labelled: DataFrame, *, key: str = "page_id", url: str = "url", labelled_url: str = "url", bad: str = "bad", known_suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """key, host, path, rule, verdict, bad_rate (posterior mean), bad_bound for each row of pages.
 
     rules: (host, path, action) with action allow or block; a rule fits its host and all subdomains if the url's path starts with its path.
-    labelled: urls of labelled pages with their outcome. A host without labelled pages has the posterior of its domain, else of its suffix, else of all.
+    labelled: urls of labelled pages with their outcome. known_suffixes: suffixes of several labels, as a public list has them. A host without labelled pages has the posterior of its domain, else of its suffix, else of all.
     Results: a null url, or one without ://, has empty host and path; repeated rows are judged each; labelled rows with a null outcome are ignored;
     without labelled pages nothing is blocked but by rule; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
@@ -99,16 +111,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, l
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), "host string, path string, action string")
     host, path = parts(F.col(url))
-    domain, suffix = domain_of(F.col("host"))
-    given = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path")).select("*", domain.alias("domain"), suffix.alias("suffix"))
-    known = reputation(labelled.where(F.col(bad).isNotNull()).select(parts(F.col(labelled_url))[0].alias("host"), F.col(bad).cast("boolean").alias("bad")))
+    domain, suffix = domain_of(F.col("host"), known_suffixes)
+    given = C.stored(pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path")), "urls")
+    known = reputation(labelled.where(F.col(bad).isNotNull()).select(parts(F.col(labelled_url))[0].alias("host"), F.col(bad).cast("boolean").alias("bad")), known_suffixes)
     # One row for each distinct host is looked up at every level, not one for each page.
-    hosts = given.select("host", "domain", "suffix").distinct()
+    hosts = given.select("host").distinct().select("host", domain.alias("domain"), suffix.alias("suffix"))
     for name in ("host", "domain", "suffix"):
-        hosts = hosts.join(known[name].select(name, F.struct("mean", "strength").alias(f"_{name}")), name, "left")
+        hosts = hosts.join(C.small(known[name].select(name, F.struct("mean", "strength").alias(f"_{name}")), BROADCAST_ROWS), name, "left")
     hosts = hosts.crossJoin(F.broadcast(known["all"].select(F.struct("mean", "strength").alias("_all"))))  # one row
     p = F.coalesce("_host", "_domain", "_suffix", "_all")
     hosts = hosts.select("host", p["mean"].alias("bad_rate"), (p["mean"] - BOUND * F.sqrt(p["mean"] * (1 - p["mean"]) / (p["strength"] + 1))).alias("bad_bound"))
-    out = given.join(matched(given, rules), ["host", "path"], "left").join(hosts, "host")
+    hits = C.stored(matched(given, rules), "matched")
+    out = given.join(C.small(hits, BROADCAST_ROWS), ["host", "path"], "left").join(C.small(C.stored(hosts, "verdicts"), BROADCAST_ROWS), "host")
     by_rate = F.when(F.col("bad_bound") > MAX_BAD, "block").otherwise("allow")
     return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("action", by_rate).alias("verdict"), "bad_rate", "bad_bound")

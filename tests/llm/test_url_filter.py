@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pytest
 from lamella.llm import queries, url_filter
+from pyspark.sql import functions as F
 
 RULES = queries.URL_RULES
 URLS = [
@@ -84,3 +85,21 @@ def test_reputation(spark):
         assert r["bad_bound"] == pytest.approx(bound) and r["verdict"] == ("block" if bound > 0.5 else "allow")
     verdicts = {r["host"]: r["verdict"] for r in got}
     assert verdicts["spam.bad.com"] == "block" and verdicts["good.fine.org"] == "allow"
+
+
+def test_suffixes_are_an_input(spark):
+    hosts = ["a.b.example", "x.b.example", "b.example", "x.y.deep.b.example", "deep.b.example", "c.com", "com", ""]
+    known = ["b.example", "deep.b.example"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = url_filter.domain_of(F.col("host"), known)
+    got = [tuple(r) for r in rows.coalesce(1).select("host", domain, suffix).collect()]
+    assert got == [
+        ("a.b.example", "a.b.example", "b.example"), ("x.b.example", "x.b.example", "b.example"), ("b.example", "b.example", "b.example"), ("x.y.deep.b.example", "y.deep.b.example", "deep.b.example"),
+        ("deep.b.example", "deep.b.example", "deep.b.example"), ("c.com", "c.com", "com"), ("com", "com", "com"), ("", "", ""),
+    ]
+
+
+def test_the_plan_is_short(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
+    out = url_filter.judge(pages, RULES, spark.createDataFrame([("http://a.com/", True)], "url string, bad boolean"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") < 40
