@@ -31,8 +31,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.operators.components import star_components
-
 from . import common as C
 from . import kernel
 
@@ -92,13 +90,13 @@ def sketch_words(x: np.ndarray, m: int, seed: int) -> np.ndarray:
 
 
 def least_shared(x: np.ndarray, table: list[tuple[int, int, int]]) -> int:
-    """Words that a text shares with each text that it links with, at least, in the band that has fewest: all but D agree, and empty ones may have been left out."""
+    """Words that a text shares with each text that it links with, at least, in the band that has fewest: all but D agree, and either text may have left out empty ones."""
     least = 0
     for j, (low, most, d) in enumerate(table):
         if low <= len(x) <= most and d > 0:
             m = d + 1 + slack(d)
             empty = m - np.count_nonzero(np.bincount(cells(x, m, j)[0], minlength=m))
-            need = m - d - (empty if empty <= slack(d) else 0)
+            need = m - d - min(empty, slack(d))
             least = min(least or need, need)
     return max(1, least)
 
@@ -255,14 +253,9 @@ def refined(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(compare, "a long, b long").distinct()
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, set for each text whose id is in ids."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in sets(b.column("text"), k)], pa.binary())], ["id", "set"])
-
-    return docs.join(C.small(ids, BROADCAST_IDS), "id", "left_semi").mapInArrow(run, "id long, set binary")
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose id is in ids."""
+    return docs.join(C.small(ids, BROADCAST_IDS), "id", "left_semi")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -272,7 +265,12 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
     partners = pairs.join(chunks, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("kind"))
     hubs = chunks.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"))
     sends = C.stored(hubs.unionByName(partners), "sends")
-    found = sets_of(docs, C.stored(sends.select("id").distinct(), "ids"), k)
+
+    def sets_with_ids(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in sets(b.column("text"), k)], pa.binary())], ["id", "set"])
+
+    found = of_ids(docs, C.stored(sends.select("id").distinct(), "ids")).mapInArrow(sets_with_ids, "id long, set binary")
     # A hub's set stands before those of its partners.
     met = found.join(C.small(sends, BROADCAST_IDS), "id").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "kind")
 
@@ -313,12 +311,14 @@ def sharing(docs: DataFrame, known: DataFrame, k: int, num: int, den: int) -> Da
 
     def run(batches):
         for b in batches:
-            ids, values = b.column("id").to_numpy(zero_copy_only=False), [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("set")]
-            for i in range(0, len(values), 32):
-                some = values[i : i + 32]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(np.repeat(ids[i : i + 32], [len(x) for x in some]))], ["shingle", "id"])
-
-    shingles = sets_of(docs, known.select("id"), k).mapInArrow(run, "shingle long, id long")
+            ids, some = b.column("id").to_numpy(zero_copy_only=False), []
+            for i, x in enumerate(sets(b.column("text"), k)):
+                some.append(x.view(np.int64))
+                if len(some) == 32 or i + 1 == len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some)), pa.array(np.repeat(ids[i + 1 - len(some) : i + 1], [len(x) for x in some]))], ["shingle", "id"])
+                    some = []
+
+    shingles = of_ids(docs, known.select("id")).mapInArrow(run, "shingle long, id long")
     alone = shingles.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("id").alias("id")).where("texts = 1").groupBy("id").agg(F.count("*").alias("alone"))
     return known.join(alone, "id", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * den >= F.col("least") * num).select("id")
 
@@ -326,6 +326,8 @@ def sharing(docs: DataFrame, known: DataFrame, k: int, num: int, den: int) -> Da
 @C.tidy
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id reachable by edges (a, b), for every id but the smallest ones themselves; never in one task."""
+    from lamella.operators.components import star_components  # not above: Python workers import this module, and they need no pandas
+
     return star_components(edges, one_task=0).withColumnRenamed("root", "component")
 
 

@@ -157,3 +157,39 @@ def test_growing_sketches_bound_the_difference():
                 assert found == jaccard_join.fine_differing(b, a) <= d
                 limit = (len(x) + len(y)) * 20 / 180
                 assert n < 900 or found > limit or d < 1.5 * limit
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    long = " ".join(["w" * (i % 50) + str(i % 977) for i in range(80_000)])
+    texts = pa.array([long, "x" * (3 * kernel.GROUP_BYTES) + " tail", "short one", long + " more"])
+    assert len(long) > kernel.GROUP_BYTES
+    whole = list(jaccard_join.sets(texts, 4))
+    assert len(kernel._powers[0]) <= kernel.GROUP_BYTES + 1
+    monkeypatch.setattr(kernel, "GROUP_BYTES", 1 << 24)
+    monkeypatch.setattr(kernel, "_powers", [])
+    again = list(jaccard_join.sets(texts, 4))
+    assert all((a == b).all() for a, b in zip(whole, again, strict=True))
+    w = long.split()
+    assert len(whole[0]) == len(set(zip(w, w[1:], w[2:], w[3:]))) and len(np.intersect1d(whole[0], whole[3])) == len(whole[0])
+
+
+def test_least_shared_words():
+    """Texts that link share at least so many words in each band that both are in."""
+    r = np.random.default_rng(8)
+    table = list(jaccard_join.bands(80, 100, 3000))
+    for n in (3, 8, 20, 60, 300, 1200):
+        for _ in range(12):
+            x = r.integers(0, 2**63, n).astype(np.uint64)
+            d = int(r.integers(0, 2 * n * 20 // 180 + 1))
+            y = np.concatenate([x[d // 2 :], r.integers(0, 2**63, d - d // 2).astype(np.uint64)])
+            if 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)):
+                continue
+            shared = []
+            for j, (low, most, k) in enumerate(table):
+                if low <= min(len(x), len(y)) and max(len(x), len(y)) <= most and k > 0:
+                    a, b = (jaccard_join.sketch_words(z, k + 1 + jaccard_join.slack(k), j) for z in (x, y))
+                    both_whole = all((z == 0).sum() > jaccard_join.slack(k) for z in (a, b))
+                    shared.append(int(((a == b) & ((a != 0) | both_whole)).sum()))
+            assert not shared or max(shared) >= max(jaccard_join.least_shared(z, table) for z in (x, y))
