@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import components as C
+from ..operators import contours as K
 from ..operators import neighbourhood as N
 from ..operators import pins as P
 from ..operators import relabel as R
@@ -258,6 +259,14 @@ def point_cloud_of_label(v):
     return N.point_cloud(v, 0)
 
 
+@query("v_blk", CLOUD.format(""))
+def contour_voxels(v):
+    """The voxels that contours pass."""
+    p = F.col("pixel")
+    at = K.contours(v).select("label", "z", F.explode("pixels").alias("pixel")).distinct()
+    return at.select("label", (p % 50).alias("x"), F.expr("pixel div 50").alias("y"), "z")
+
+
 # ---- components
 
 # Runs, edges between runs that touch, every run that each run reaches, and for each run the smallest of these as its component's root.
@@ -295,6 +304,12 @@ def component_counts(v):
     return C.component_counts(v)
 
 
+@query("v_ord", COMPONENTS, **reach(IN_SLICE))
+def outer_contours(v):
+    """Each component has one contour around it."""
+    return K.contours(v).where("outer").groupBy("z").agg(F.count("*").alias("components"))
+
+
 @query("v_blk", f"select v.x, v.y, v.z, c.cc - 1 cc from v join c {ON_RUN}", **reach(IN_SLICE))
 def layer_components(v):
     return C.layer_components(v)

@@ -283,3 +283,37 @@ def test_point_cloud_of_some(spark):
     assert sorted(map(tuple, N.point_cloud(v, [1, 3], 1, 3).collect())) == [r for r in every if r[0] in (1, 3) and 1 <= r[3] < 3]
     with pytest.raises(LabelError):
         N.point_cloud(v, [1, 99])
+
+
+def test_contours(spark):
+    from lamella.operators import contours as K
+
+    ring = np.zeros((7, 6), int)
+    ring[1:6, 1:5] = 1
+    ring[2:5, 2:4] = 2
+    ring[3, 2] = 3
+    found = {(c, outer): p.tolist() for c, outer, p in K.walked(K_regions(ring))}
+    at = lambda *xy: [x + 7 * y for x, y in xy]
+    # Component 3 is the pixel (3, 2); 2 goes around it on three sides.
+    assert found[3, True] == at((3, 2))
+    assert found[1, True] == at(*[(x, 1) for x in range(1, 6)], (5, 2), (5, 3), *[(x, 4) for x in range(5, 0, -1)], (1, 3), (1, 2))
+    assert found[1, False] == at((1, 1), (1, 2), (1, 3), (1, 4), (2, 4), (3, 4), (4, 4), (5, 4), (5, 3), (5, 2), (5, 1), (4, 1), (3, 1), (2, 1))
+    assert (0, False) in found and (0, True) in found and len(found) == 6
+    for a in (NOISE, BLOBS):
+        v = LabelVolume.from_numpy(spark, a)
+        rows = K.contours(v).collect()
+        sx = a.shape[0]
+        got = {(r["z"], p % sx, p // sx) for r in rows for p in r["pixels"]}
+        assert got == {(r["z"], r["x"], r["y"]) for r in N.point_cloud(v, skip_background=False).collect()}
+        assert Counter(r["z"] for r in rows if r["outer"]) == {r["z"]: r["components"] for r in C.component_counts(v).collect()}
+        for r in rows:
+            p = np.array(r["pixels"])
+            assert p[0] == p.min() and (a[p % sx, p // sx, r["z"]] == r["label"]).all()
+            steps = np.abs(np.diff(np.append(p, p[0]) % sx)) + np.abs(np.diff(np.append(p, p[0]) // sx))
+            assert (steps == 1).all() or len(p) == 1
+
+
+def K_regions(a):
+    from lamella.sources import cracks
+
+    return cracks.regions(*cracks.cracks_of(a, False), a.shape, equal=False)
