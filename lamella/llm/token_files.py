@@ -39,8 +39,8 @@ SHARD_BYTES = 1 << 17
 BLOCK = 512
 #: Parquet settings that give each row pages of its own and let row groups end after any row.
 PAGES = {"compression": "none", "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
-#: Segments whose ids a worker keeps.
-CACHE = 400_000
+#: Segments whose ids a worker keeps, also from task to task: some 50 MB.
+CACHE = 800_000
 #: Stands for a null key in a file; no document may have it as its key.
 NULL_KEY = -(2**63)
 
@@ -194,7 +194,6 @@ def lengths(docs: DataFrame, *, tokenizer: str, text: str = "text", keep: Sequen
         for b in batches:
             n = [np.empty(0, np.int64), *(coder.encode(data, offsets)[1] for _, _, data, offsets in kernel.groups(b.column("text")))]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate(n) + 1)], ["row", "n"])
-        coder.forget()  # workers outlive their tasks
 
     return given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, n long").select("row.*", F.col("n").alias(name))
 
@@ -299,7 +298,6 @@ def shards(batches: Iterable[pa.RecordBatch], path: str, end_id: int, as_text: b
                 keys.append(int(key[first + i]))
                 pieces.append(piece)
                 held += len(piece) * width
-    coder.forget()  # workers outlive their tasks
     if keys:
         yield flush()
 
