@@ -106,7 +106,7 @@ ITEMS = "array<struct<pos:int,nth:int,kind:string,text:string,ref:string,caption
 
 
 def interleave(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """row (a struct of the columns keep), page (the SHA-256 of the page) and items for each row of pages.
+    """row (a struct of the columns keep), page (the SHA-256 of the page, 32 bytes) and items for each row of pages.
 
     items: array of struct(pos, nth, kind, text, ref, caption) in document order, pos from 0; kind is text or media, nth numbers the media from 0 and
     is null for text. White space is folded; what is in scripts and styles is left out; a figure's caption goes to all media in it and is no text of
@@ -114,7 +114,7 @@ def interleave(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] =
     Results: null or empty html has no items; repeated rows are kept each; an empty table gives no rows. Columns may have any names.
     """
     C.short_batches(pages.sparkSession)
-    given = pages.select(F.struct(*[F.col(c) for c in keep]).alias("row"), C.whole(html).alias("html")).select("row", F.sha2(F.col("html").cast("binary"), 256).alias("page"), "html")
+    given = pages.select(F.struct(*[F.col(c) for c in keep]).alias("row"), C.whole(html).alias("html")).select("row", F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("page"), "html")
     kind = given.schema["row"].dataType.simpleString()
 
     def run(batches):
@@ -128,22 +128,22 @@ def interleave(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...] =
                 found.append([{"pos": i, "nth": next(nth) if x[0] == "media" else None, **dict(zip(names, x, strict=True))} for i, x in enumerate(items)])
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("page"), pa.array(found, pa.list_(item))], ["row", "page", "items"])
 
-    return given.mapInArrow(run, f"row {kind}, page string, items {ITEMS}")
+    return given.mapInArrow(run, f"row {kind}, page binary, items {ITEMS}")
 
 
 @C.tidy
 def resolve(sequences: DataFrame, media: DataFrame, *, digest: str = "digest") -> DataFrame:
-    """sequences (row, page, items) with media, a struct of the columns of media, added to each item: that whose digest is the item's ref, or null.
+    """sequences (row, page, items) with media, a struct of the other columns of media, added to each item: that whose digest is the item's ref, or null.
 
-    Of the items, the fields nth and ref are used; others stay, and may be left out or added. The refs of distinct pages meet media in a join on the
-    digest; what they find goes back by page, in the order of nth, so items stay aligned. Equal digests in media are the same content: one of them is
+    Of the items, the fields nth and ref are used; others stay, and may be left out or added. Refs meet media in a join on the digest; what they
+    find is united by page, in the order of nth, and goes back, so items stay aligned. Equal digests in media are the same content: one of them is
     taken. Both sides that may have few distinct values on many rows meet a stored table, so that Spark can split them.
     Results: a null ref or digest finds nothing; an empty table gives no rows.
     """
-    value = F.struct(*[F.col(c) for c in media.columns]).alias("media")
+    value = F.struct(*[F.col(c) for c in media.columns if c != digest]).alias("media")
     stock = media.where(F.col(digest).isNotNull()).select(F.col(digest).alias("ref"), value).groupBy("ref").agg(F.first("media").alias("media"))
-    refs = sequences.select("page", F.explode("items").alias("i")).where("i.nth is not null").select("page", "i.nth", "i.ref").distinct()
-    found = refs.join(C.stored(stock, "stock"), "ref", "left").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("nth", "media"))).alias("found"))
+    refs = sequences.select("page", F.explode("items").alias("i")).where("i.nth is not null").select("page", "i.nth", "i.ref")
+    found = refs.join(C.stored(stock, "stock"), "ref", "left").groupBy("page").agg(F.sort_array(F.collect_set(F.struct("nth", "media"))).alias("found"))
     out = sequences.join(C.stored(found, "found"), "page", "left")
     fields = [f.name for f in sequences.schema["items"].dataType.elementType]
     items = F.transform("items", lambda i: F.struct(*[i[c].alias(c) for c in fields], F.get("found", i["nth"])["media"].alias("media")))
