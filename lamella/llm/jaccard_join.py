@@ -130,6 +130,7 @@ def fine_differing(x: np.ndarray, y: np.ndarray) -> int:
 
 def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z lower-cased."""
+    kernel.release()
     for _, _, data, offsets in kernel.groups(texts):
         start, end, at = kernel.words(data, offsets)
         h = kernel.span_hashes(data, start, end, kernel.LOWER)

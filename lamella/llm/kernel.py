@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,15 @@ U = np.uint64
 #: Texts are taken, and spans hashed, in groups of about so many bytes, to bound the memory of a worker.
 GROUP_BYTES = 256 << 10
 
+#: Each frees what an operator keeps in a worker from task to task. Workers outlive stages, so an operator that needs much memory calls release().
+keepers: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    for free in keepers:
+        free()
+
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -63,8 +72,9 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.n
     return out
 
 
-def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs first:last of texts (null: empty) as UTF-8 bytes and the offsets of each text in them; a text longer than GROUP_BYTES stands alone."""
+def groups(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs first:last of texts (null: empty) as UTF-8 bytes and the offsets of each text in them; a text longer than size, GROUP_BYTES if it is not given, stands alone."""
+    size = size or GROUP_BYTES
     texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -74,7 +84,7 @@ def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + GROUP_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 

@@ -35,6 +35,8 @@ from . import kernel
 U = np.uint64
 #: Bytes of ids after which a shard ends; a longer document is a shard of its own.
 SHARD_BYTES = 1 << 17
+#: Texts are encoded in groups of about so many bytes: new segments are sorted into the known ones once for each.
+GROUP_BYTES = 2 << 20
 #: Bits of the index between two stored ranks.
 BLOCK = 512
 #: Parquet settings that give each row pages of its own and let row groups end after any row.
@@ -172,6 +174,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+kernel.keepers.append(_encoders.clear)
 
 
 def encoder(path: str, as_text: bool = False) -> Encoder:
@@ -192,7 +195,7 @@ def lengths(docs: DataFrame, *, tokenizer: str, text: str = "text", keep: Sequen
     def run(batches):
         coder = encoder(tokenizer, as_text)
         for b in batches:
-            n = [np.empty(0, np.int64), *(coder.encode(data, offsets)[1] for _, _, data, offsets in kernel.groups(b.column("text")))]
+            n = [np.empty(0, np.int64), *(coder.encode(data, offsets)[1] for _, _, data, offsets in kernel.groups(b.column("text"), GROUP_BYTES))]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.concatenate(n) + 1)], ["row", "n"])
 
     return given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, n long").select("row.*", F.col("n").alias(name))
@@ -288,7 +291,7 @@ def shards(batches: Iterable[pa.RecordBatch], path: str, end_id: int, as_text: b
     width = np.dtype(dtype).itemsize
     for b in batches:
         key = b.column("key").fill_null(NULL_KEY).to_numpy()
-        for first, last, data, offsets in kernel.groups(b.column("text")):
+        for first, last, data, offsets in kernel.groups(b.column("text"), GROUP_BYTES):
             ids, counts = coder.encode(data, offsets)
             upto = np.cumsum(counts)
             for i in range(last - first):
