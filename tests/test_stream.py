@@ -5,7 +5,7 @@ import pytest
 from lamella.functions.crc import crc8, crc32c
 from lamella.sources import contexts, cracks, files, stream
 from lamella.sources.remote import rload
-from lamella.volume import FormatError, LabelVolume
+from lamella.volume import FormatError, LabelVolume, full
 
 R = np.random.default_rng(11)
 
@@ -174,3 +174,20 @@ def test_damage(spark):
         assert stream.ok(raw, where) and not stream.ok(flip(code), where)
     with pytest.raises(Exception, match="damaged|chain"):
         stream.decompress(spark, flip(code)).voxels.collect()
+
+
+def test_published_sizes(spark):
+    """Volumes of 256 x 256 x 64 with one label take 1262 bytes, as the format's benchmarks say."""
+    for label in (0, 1):
+        assert len(stream.compress(full(spark, (256, 256, 64), label, width=4))) == 1262
+
+
+def test_junctions_without_spark():
+    """Four squares that meet in a point, with walls of their own: branches that must not be taken for ends."""
+    a = np.zeros((10, 9), int)
+    a[2:4, 2:4], a[4:6, 2:4], a[4:6, 4:6], a[2:4, 4:6] = 1, 2, 3, 4
+    for b in (a, a.T, np.kron(a, np.ones((2, 3), int)), a[::-1], a[2:6, 2:6]):
+        want = cracks.regions(*cracks.cracks_of(b, False), b.shape, equal=False)
+        for boundaries in (True, False):
+            nodes, codes = stream.symbols_of(b, boundaries)
+            assert (stream.slice_regions(cracks.write_index(nodes, b.shape) + cracks.pack(codes), b.shape, boundaries, None, 0) == want).all()
