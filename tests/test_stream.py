@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from lamella.functions.crc import crc8, crc32c
+from lamella.operators import pins as P
 from lamella.sources import contexts, cracks, files, stream
 from lamella.sources.remote import rload
 from lamella.volume import FormatError, LabelVolume, full
@@ -113,6 +114,35 @@ def test_recompress(spark):
         stream.recompress(spark, raw, memory_target=10)
 
 
+def test_driver_gets_bytes_of_pins(spark, monkeypatch):
+    """Pins of several slabs, few and many for a label: the driver gets a row for each slice or range of labels, without lists in it."""
+    a = np.kron(R.integers(0, 5, (6, 10, 30)), np.ones((2, 1, 10), int)).astype(np.uint8)
+    a[4:8, 3, 5:290] = 7
+    a[0, 0, ::3] = 8
+    v = LabelVolume.from_numpy(spark, a)
+    raw = stream.compress(v)
+    frame, got = type(v.voxels), []
+
+    def watched(f):
+        def run(self, *args):
+            out = f(self, *args)
+            rows = out if isinstance(out, list) else list(out.itertuples(index=False))
+            got.append((len(rows), any(isinstance(x, (list, tuple, np.ndarray)) for r in rows for x in r)))
+            return out
+
+        return run
+
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(frame, name, watched(getattr(frame, name)))
+    pins = stream.recompress(spark, raw, pins=True)
+    monkeypatch.undo()
+    assert stream.Stream.parse(pins).header.label_format == stream.PINS and P.pins(v).count() > 3 * a.shape[2]
+    assert max(n for n, _ in got) <= a.shape[2] and not any(lists for _, lists in got)
+    assert (stream.decompress(spark, pins).to_numpy() == a).all()
+    assert (stream.decompress(spark, pins, 120, 140).to_numpy() == a[:, :, 120:140]).all()
+    assert stream.recompress(spark, pins) == raw
+
+
 def test_context_counts(spark):
     a = R.integers(0, 3, (9, 7, 4)).astype(np.uint8)
     v = LabelVolume.from_numpy(spark, a)
